@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cuecraft.llm import mixing, splitting, tokens
 from cuecraft.llm.sentences import sentences
 from cuecraft.session import table
 
@@ -12,5 +14,50 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "chunks"), "chunk_id", "text")
 
 
-QUERIES = {"p1_found": p1_found}
-SQL: dict[str, str] = {}
+def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    return splitting.split_oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "ingest_requests"), with_text=with_text)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir, False).where(F.col("piece_no") == 1).select("chunk_id").distinct()
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir, True)
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.decode(p7_ids(spark, sf_dir), "doc_id", "ids")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = mixing.sized(table(spark, sf_dir, "documents"))
+    return mixing.sample(sizes, mixing.shares(table(spark, sf_dir, "mix_plan"), sizes))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "mix_plan"), mixing.sized(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p7_ids": p7_ids,
+    "p7_decoded": p7_decoded,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+}
+SQL: dict[str, str] = {
+    "p2_found": """
+SELECT DISTINCT c.chunk_id FROM chunks c
+LEFT JOIN (SELECT request_id, min(coalesce(max_chunk_size, 850)) AS hi, min(coalesce(min_chunk_size, 350)) AS lo
+           FROM ingest_requests GROUP BY request_id) r ON c.request_id = r.request_id AND r.hi >= r.lo
+WHERE length(c.text) > coalesce(r.hi, 850)
+""",
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}

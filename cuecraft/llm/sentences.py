@@ -87,12 +87,12 @@ _TERM_CLASS = re.escape(_TERM)
 _MARK_CLASS = f"[{_TERM_CLASS}{re.escape(''.join(_PAIRS))}][{_TERM_CLASS}]*+"
 _MARK = re.compile(_MARK_CLASS)
 _MARK_THAI = re.compile(rf"{_MARK_CLASS}|(?<=[฀-๿])[ \t\xa0\u202f]+(?=[^\d\s])")
-_LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
+_LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _SPACE = re.compile(r"\s*")
 _ITEM = re.compile(r"\s*(?:[-*+•·‣▪◦–—]|\d{1,3}[.)]|[^\W\d_][)]|\(\w{1,3}\))\s+(?=\S)")
 _HEADING = re.compile(r"\s*(?:#{1,6}\s*\S|§+\s*\d|(?:\d{1,3}\.)+\d{1,3}\.?\s+[^\W\d_]|\d{1,3}[.)]\s+[^\W\d_]|(?:chapter|section|kapitel|abschnitt|chapitre|capítulo|capitolo|hoofdstuk|глава)\s+\d+)", re.I)
 _SYMBOLS = re.compile(r"[\W_\d]*$")
-_NUMERIC = re.compile(r"[\d.,:/  ]*\d$")
+_NUMERIC = re.compile(r"[\d.,:/\xa0\u202f]*\d$")
 _WORDLIKE = re.compile(r"[^\W\d_]")
 _INSIDE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _LAST_RUN = re.compile(r"[^\u2e80-\uffdc]*\Z")
@@ -181,7 +181,7 @@ def _full_stop_ends(text: str, start: int, dot: int, after: int, nxt: int, high:
             if lower:
                 return low not in "ub"
             # An initial stands at the start, next to another initial, or after "and"; else it is a symbol at the end.
-            if token_at == start or not text[start:token_at].strip("\"'“„«»(  \n\t"):
+            if token_at == start or not text[start:token_at].strip("\"'“„«»( \xa0\n\t"):
                 return False
             if nxt + 1 < high and text[nxt + 1] == ".":
                 return False
