@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuecraft.llm import mixing, splitting, tokens
+from cuecraft.llm import linking, mixing, splitting, tokens
 from cuecraft.llm.sentences import sentences
 from cuecraft.session import table
 
@@ -26,6 +26,10 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, True)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.link(table(spark, sf_dir, "mentions"), table(spark, sf_dir, "entities"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -47,6 +51,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
     "p8_mix": p8_mix,
