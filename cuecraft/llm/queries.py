@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuecraft.llm import linking, mixing, splitting, tokens
+from cuecraft.llm import garbled, linking, mixing, splitting, tokens
 from cuecraft.llm.sentences import sentences
 from cuecraft.session import table
 
@@ -47,6 +47,14 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "mix_plan"), mixing.sized(table(spark, sf_dir, "documents")))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_restored(spark, sf_dir).select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -56,6 +64,8 @@ QUERIES = {
     "p7_decoded": p7_decoded,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 SQL: dict[str, str] = {
     "p2_found": """
