@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuecraft.llm import garbled, linking, mixing, splitting, tokens
+from cuecraft.llm import garbled, linking, mixing, pairs, splitting, tokens
 from cuecraft.llm.sentences import sentences
 from cuecraft.session import table
 
@@ -30,6 +30,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.link(table(spark, sf_dir, "mentions"), table(spark, sf_dir, "entities"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.find_defects(table(spark, sf_dir, "ask_log"), table(spark, sf_dir, "documents"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -60,6 +64,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
     "p8_mix": p8_mix,
