@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuecraft.llm import garbled, linking, mixing, pairs, splitting, tokens
+from cuecraft.llm import garbled, langid, linking, mixing, pairs, splitting, tokens
 from cuecraft.llm.sentences import sentences
 from cuecraft.session import table
 
@@ -34,6 +34,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.find_defects(table(spark, sf_dir, "ask_log"), table(spark, sf_dir, "documents"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "chunks"), "chunk_id", "text", "lang", only_cases=True).select("chunk_id", "seg_no", "lang").distinct()
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "chunks"), "chunk_id", "text", "lang")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -65,6 +73,8 @@ QUERIES = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_segments": p5_segments,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
     "p8_mix": p8_mix,
