@@ -15,6 +15,7 @@ checks each sentence, and only those that agree with their label go into an auto
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuecraft.llm.pairs import LanguageModel
+from cuecraft.llm.sampling import sample_rows
 from cuecraft.llm.sentences import spans
 
 SAMPLE_ROWS = 6_000
@@ -346,8 +348,8 @@ def identify(df: DataFrame, key: str, text: str, label: str, labelled: DataFrame
     """
     source = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(label).alias("_l")).where(F.col("_t").isNotNull())
     known = labelled.select(F.col("text").alias("_t"), F.col("lang").alias("_l")) if labelled is not None else source.select("_t", "_l")
-    sample = known.where(F.col("_l").isNotNull() & F.col("_t").isNotNull() & (F.length("_t") < 5_000)).orderBy(F.xxhash64("_t")).limit(SAMPLE_ROWS).collect()
-    trained = Identifier.train([(r["_t"], r["_l"]) for r in sample])
+    sample = sample_rows(known.where(F.col("_l").isNotNull() & F.col("_t").isNotNull() & (F.length("_t") < 5_000)), "_t", SAMPLE_ROWS)
+    trained = Identifier.train(sorted(((r["_t"], r["_l"]) for r in sample.collect()), key=lambda x: (zlib.crc32(x[0].encode()), x)))
     held = df.sparkSession.sparkContext.broadcast({n: (g.languages, g.alphabet, g.table, g.starts) for n, g in trained.groups.items()})
     kind = source.schema["_k"].dataType.simpleString()
 
