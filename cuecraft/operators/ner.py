@@ -66,6 +66,7 @@ def gazetteer(names: dict[str, str]) -> Callable[[str], list[tuple[str, str]]]:
 def language(text: Column, stop_words: dict[str, tuple[str, ...]], default: str = "en") -> Column:
     """Stand-in language detection: the language with most stop words in the text, the default where none has any."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
-    counts = [F.struct(F.size(F.filter(words, lambda w, s=s: w.isin(*s))).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang")) for i, (lang, s) in enumerate(stop_words.items())]
+    hits = lambda stop: F.size(F.filter(words, lambda w: w.isin(*stop)))
+    counts = [F.struct(hits(stop).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang")) for i, (lang, stop) in enumerate(stop_words.items())]
     best = F.array_max(F.array(*counts))
     return F.when(best["n"] > 0, best["lang"]).otherwise(default)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cuecraft.plans import intervals
+from cuecraft.plans import chunks, entities, intervals, search
 
-MODULES = [intervals]
+MODULES = [search, chunks, entities, intervals]
 
 
 def queries() -> dict:

@@ -51,12 +51,16 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True, schema="text string, spans array<struct<text string, is_entity boolean, label string, reason string>>")
 
 
+def _replace_all(texts: Column, what: str, by: str) -> Column:
+    return F.transform(texts, lambda t: F.replace(t, F.lit(what), F.lit(by)))
+
+
 def blocks(html: Column) -> Column:
     """Texts of the blocks of a page: markup off, references resolved for the five basic ones, empty blocks left out."""
     cut = F.split(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|section|article|pre|blockquote)\b[^>]*>")
     plain = F.transform(cut, lambda b: tx.strip(F.regexp_replace(F.regexp_replace(b, r"<[^>]*>", ""), r"(?U)\s+", " ")))
     for ref, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        plain = F.transform(plain, lambda b, ref=ref, ch=ch: F.replace(b, F.lit(ref), F.lit(ch)))
+        plain = _replace_all(plain, ref, ch)
     return F.filter(plain, lambda b: b != "")
 
 
