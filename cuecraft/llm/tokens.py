@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,7 @@ from cuecraft.session import worker_threads
 #: Folder of the public tokenizers; a parameter of every operator.
 TOKENIZER_DIR = os.environ.get("CUECRAFT_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.json"
-_CHARS_AT_ONCE = 2_000_000
+_CHARS_AT_ONCE = 300_000
 
 
 def vocabulary(name: str = BYTE_BPE, folder: str = TOKENIZER_DIR) -> str:
@@ -41,16 +42,19 @@ def load(path: str):
     return tokenizer
 
 
-def encode_texts(texts: list[str | None], path: str) -> list:
-    """Encodings of the texts; null counts as empty. Native calls get a bounded number of characters at once."""
+def encode_texts(texts: list[str | None], path: str, take: Callable) -> list:
+    """What ``take`` makes of the encoding of each text; null counts as empty.
+
+    Native calls get a bounded number of characters at once, and their encodings are let go after each.
+    """
     tokenizer, out, part, size = load(path), [], [], 0
     for text in texts:
         part.append(text or "")
         size += len(part[-1])
         if size > _CHARS_AT_ONCE:
-            out += tokenizer.encode_batch(part, add_special_tokens=False)
+            out += [take(x) for x in tokenizer.encode_batch(part, add_special_tokens=False)]
             part, size = [], 0
-    return out + (tokenizer.encode_batch(part, add_special_tokens=False) if part else [])
+    return out + ([take(x) for x in tokenizer.encode_batch(part, add_special_tokens=False)] if part else [])
 
 
 def _int_list(lists: list[list[int]]) -> pa.ListArray:
@@ -69,12 +73,14 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None, spans: b
     path = path or vocabulary()
     source = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
 
+    def parts(x) -> tuple:
+        ids = np.array(x.ids, dtype=np.int32)
+        return (ids, [a for a, _ in x.offsets], [b for _, b in x.offsets]) if spans else (ids,)
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = encode_texts(batch.column(1).to_pylist(), path)
-        columns, names = [batch.column(0), _int_list([x.ids for x in found])], [key, "ids"]
-        if spans:
-            columns += [_int_list([[a for a, _ in x.offsets] for x in found]), _int_list([[b for _, b in x.offsets] for x in found])]
-            names += ["starts", "ends"]
+        names = [key, "ids"] + (["starts", "ends"] if spans else [])
+        found = encode_texts(batch.column(1).to_pylist(), path, parts)
+        columns = [batch.column(0), *(_int_list([x[i] for x in found]) for i in range(len(names) - 1))]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = source.schema["_k"].dataType.simpleString()
@@ -88,7 +94,7 @@ def count(df: DataFrame, key: str, text: str, *carry: str, path: str | None = No
     source = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes = pa.array([len(x.ids) for x in encode_texts(batch.column(1).to_pylist(), path)], type=pa.int32())
+        sizes = pa.array(encode_texts(batch.column(1).to_pylist(), path, len), type=pa.int32())
         return pa.RecordBatch.from_arrays([batch.column(0), sizes, *batch.columns[2:]], names=[key, "n_tokens", *carry])
 
     fields = [(key, source.schema["_k"])] + [("n_tokens", None)] + [(c, source.schema[f"_c{i}"]) for i, c in enumerate(carry)]
