@@ -27,7 +27,7 @@ from cuecraft.llm.sampling import sample_rows
 from cuecraft.llm.sentences import spans
 
 SAMPLE_ROWS = 6_000
-AUTOMATON_CHARS = {"latin": 14_000, "han": 8_000}
+AUTOMATON_CHARS = {"latin": 28_000, "han": 14_000}
 SWITCH = 4.0
 
 # Languages, their scripts, and the names of a label that mean them.
@@ -156,6 +156,14 @@ class Group:
         first = table[starts]
         self.first = np.where(first > 0, first, starts[:, None]).astype(np.int32) * np.int32(table.shape[1])
 
+    def packed(self) -> tuple:
+        """The parts, small enough to send: most transitions are none."""
+        return self.languages, self.alphabet, zlib.compress(self.table.tobytes(), 1), self.table.shape, self.starts
+
+    @classmethod
+    def unpacked(cls, languages: tuple[str, ...], alphabet: np.ndarray, table: bytes, shape: tuple[int, int], starts: np.ndarray) -> Group:
+        return cls(languages, alphabet, np.frombuffer(zlib.decompress(table), dtype=np.int32).reshape(shape), starts)
+
     @classmethod
     def build(cls, languages: tuple[str, ...], texts: dict[str, list[np.ndarray]], most: int) -> Group | None:
         have = tuple(lang for lang in languages if texts.get(lang))
@@ -350,11 +358,11 @@ def identify(df: DataFrame, key: str, text: str, label: str, labelled: DataFrame
     known = labelled.select(F.col("text").alias("_t"), F.col("lang").alias("_l")) if labelled is not None else source.select("_t", "_l")
     sample = sample_rows(known.where(F.col("_l").isNotNull() & F.col("_t").isNotNull() & (F.length("_t") < 5_000)), "_t", SAMPLE_ROWS)
     trained = Identifier.train(sorted(((r["_t"], r["_l"]) for r in sample.collect()), key=lambda x: (zlib.crc32(x[0].encode()), x)))
-    held = df.sparkSession.sparkContext.broadcast({n: (g.languages, g.alphabet, g.table, g.starts) for n, g in trained.groups.items()})
+    held = df.sparkSession.sparkContext.broadcast({n: g.packed() for n, g in trained.groups.items()})
     kind = source.schema["_k"].dataType.simpleString()
 
     def run(batches):
-        identifier = Identifier({n: Group(*parts) for n, parts in held.value.items()})
+        identifier = Identifier({n: Group.unpacked(*parts) for n, parts in held.value.items()})
         for batch in batches:
             texts, labels = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             rows: list[tuple] = []
