@@ -6,7 +6,8 @@ The prediction holds only if the chain can be inverted: the word encodes in the
 strictly in the right one, and the classifier takes the result for sound text, more so than what it was. Chains that
 lost characters cannot be inverted; there a wide margin of the classifier over a passage is asked for.
 
-Training words come from a bounded sample of the corpus (``TRAIN_ROWS`` rows); every row is then classified whole.
+Training words of the classifier come from a bounded sample of the corpus (``TRAIN_ROWS`` rows); every row is then
+classified whole. The counts that a word and what it was before are compared by are those of all distinct texts.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuecraft.llm.sampling import sample_rows
+from cuecraft.session import materialize
 
 #: Rows at most whose words train the classifier, and words at most that are garbled for it.
 TRAIN_ROWS, TRAIN_WORDS = 6_000, 4_000
-#: Words of the sample at most whose counts are kept.
+#: Words of the sample at most that the training looks at.
 LEXICON_WORDS = 50_000
 BUCKETS = 1 << 14
 SOUND = "sound"
@@ -156,11 +158,15 @@ def features(word: str) -> np.ndarray:
 
 
 class Classifier:
-    """Log likelihoods of the buckets by class, class 0 being sound text, and the counts of the training words."""
+    """Log likelihoods of the buckets by class, class 0 being sound text, and the counts of words by texts.
 
-    def __init__(self, weights: np.ndarray, lexicon: dict[str, int]):
+    ``unit`` is the count that stands for one in ``TRAIN_ROWS`` texts, one at least, so that the rules are the same for
+    a corpus of any size. ``own`` is what the text that a word is judged in adds to the word's count.
+    """
+
+    def __init__(self, weights: np.ndarray, lexicon: dict[str, int], unit: float = 1.0, own: int = 0):
         self.weights = weights  # buckets x classes, log
-        self.lexicon = lexicon
+        self.lexicon, self.unit, self.own = lexicon, unit, own
         self.known = lru_cache(maxsize=100_000)(self.judge)
 
     @classmethod
@@ -196,22 +202,16 @@ class Classifier:
         return float(self.weights[features(word), 0].mean())
 
     def seen(self, text: str) -> int:
-        """The least count in the training words among the parts of the text that are not plain ASCII."""
-        parts = [w for w in (p.strip(_EDGE) for p in _SPACES.split(text)) if w and not w.isascii()]
-        return min((self.lexicon.get(w, 0) for w in parts), default=0)
+        """The least count of the parts of the text that are not plain ASCII."""
+        return min((self.lexicon.get(w, 0) for w in _lookups(text)), default=0)
 
-    def judge(self, word: str, depth: int = 0) -> tuple[str, str | None, float]:
-        """Chain of the word or ``sound``, what it was before if that can be had back, and the margin over sound text."""
-        plain = unescape(word)
-        note = "escaped; " if plain != word else ""
-        core = plain.strip(_PLAIN_EDGE if _SHIFTED.search(plain) else _EDGE)
-        if not core or core.isascii() and not _SHIFTED.search(core):
-            return SOUND, None, 0.0
-        as_is = self.seen(core)
+    def _candidates(self, core: str) -> tuple[list[tuple[int, str, bool, float, float]], int, float]:
+        """Chains that some counts could speak for, with what the text was before, whether decoding it is evidence,
+        margin and gain; the likeliest chain and its margin."""
         score = self.scores(core)
         sound, likeness = float(score[0]), self._likeness(core)
         order = np.argsort(-score[1:])[:16] + 1
-        best: tuple | None = None
+        out = []
         for k in order:
             chain = CHAINS[k - 1]
             before = invert(core, chain)
@@ -221,22 +221,54 @@ class Classifier:
             evident = chain[0][0] in _MULTI
             if before.isascii() and chain[0][0] != "utf-7" or any("\x7f" <= c <= "\x9f" or "\ue000" <= c <= "\uf8ff" for c in before):
                 continue
+            margin = float(score[k]) - sound
+            if margin > -2.0 if evident else margin > 0.0 and not _mixes_scripts(before):
+                out.append((int(k), before, evident, margin, self._likeness(before) - likeness))
+        return out, int(order[0]), float(score[order[0]]) - sound
+
+    def lookups(self, word: str, depth: int = 0) -> set[str]:
+        """The words whose counts ``judge`` may ask for; none if it finds the word sound whatever they are."""
+        core = _core(unescape(word))
+        if not core:
+            return set()
+        candidates, _, margin = self._candidates(core)
+        out: set[str] = set()
+        for k, before, *_ in candidates:
+            out.update(_lookups(before))
+            if depth < 2 and chain_may_repeat(k):
+                out |= self.lookups(before, depth + 1)
+        if candidates or _lost(core) or self._wide(core, margin):
+            out.update(_lookups(core))
+        return out
+
+    @staticmethod
+    def _wide(core: str, margin: float) -> bool:
+        # Symbols alone, such as the lines of a drawn tree, are no words that a margin could speak for.
+        return any(c.isalpha() for c in core) and margin > 30.0 and margin / len(features(core)) > 1.2
+
+    def judge(self, word: str, depth: int = 0) -> tuple[str, str | None, float]:
+        """Chain of the word or ``sound``, what it was before if that can be had back, and the margin over sound text."""
+        plain = unescape(word)
+        note = "escaped; " if plain != word else ""
+        core = _core(plain)
+        if not core:
+            return SOUND, None, 0.0
+        as_is = max(0, self.seen(core) - (self.own if depth == 0 and not note else 0))
+        candidates, k, lead = self._candidates(core)
+        best: tuple | None = None
+        for c, before, evident, margin, gain in candidates:
             count = self.seen(before)
-            if as_is > max(2, count) or len(core) == 1 and as_is > (2 if core.isalpha() else 1):
+            if as_is > max(2 * self.unit, count) or len(core) == 1 and as_is > (2 if core.isalpha() else 1) * self.unit:
                 continue
-            margin = float(score[k]) - sound
-            gain = self._likeness(before) - likeness
-            foreign = sum(c > "\x7f" and c.isalpha() for c in before)
             if evident:
-                good = margin > -2.0 and (gain > 0.0 or count > as_is)
-            elif _mixes_scripts(before):
-                good = False
-            elif count > max(1, 2 * as_is):
-                good = margin > 0.0 and len(before) > 1
+                good = gain > 0.0 or count > as_is
+            elif count > max(self.unit, 2 * as_is):
+                good = len(before) > 1
             else:
-                good = margin > 8.0 and gain > 0.8 and foreign >= 4
-            if good and (best is None or (count > 0, evident, margin) > best[0]):
-                best = ((count > 0, evident, margin), k, before, max(margin, 6.0) if evident else margin)
+                good = margin > 8.0 and gain > 0.8 and sum(x > "\x7f" and x.isalpha() for x in before) >= 4
+            rank = (min(count / self.unit, 1.0), evident, margin)
+            if good and (best is None or rank > best[0]):
+                best = (rank, c, before, max(margin, 6.0) if evident else margin)
         if best is not None:
             _, k, before, margin = best
             name = NAMES[k]
@@ -245,13 +277,10 @@ class Classifier:
                 if again != SOUND and further is not None:
                     name, before, margin = f"{again}; {name}", further, margin + more
             return note + name, plain.replace(core, before), margin
-        k = int(order[0])
-        margin = float(score[k]) - sound
-        lost = REPLACEMENT in core or any("\x80" <= c <= "\x9f" for c in core)
-        # Symbols alone, such as the lines of a drawn tree, are no words that a margin could speak for.
-        if lost and as_is <= 2 or as_is == 0 and any(c.isalpha() for c in core) and margin > 30.0 and margin / len(features(core)) > 1.2:
-            return note + NAMES[k], None, max(margin, 6.0) if lost else margin
-        return SOUND, None, margin
+        lost = _lost(core)
+        if lost and as_is <= 2 * self.unit or as_is < self.unit and self._wide(core, lead):
+            return note + NAMES[k], None, max(lead, 6.0) if lost else lead
+        return SOUND, None, lead
 
     def passages(self, text: str) -> list[tuple[int, int, str, str | None, float]]:
         """Garbled words of the text: start, end, chain, restored form or null, margin."""
@@ -265,6 +294,21 @@ class Classifier:
         return out
 
 
+def _core(plain: str) -> str:
+    """The word without its edges; nothing if it is plain ASCII without shifted base 64."""
+    core = plain.strip(_PLAIN_EDGE if _SHIFTED.search(plain) else _EDGE)
+    return "" if core.isascii() and not _SHIFTED.search(core) else core
+
+
+def _lookups(text: str) -> list[str]:
+    """Parts of the text that are not plain ASCII."""
+    return [w for w in (p.strip(_EDGE) for p in _SPACES.split(text)) if w and not w.isascii()]
+
+
+def _lost(core: str) -> bool:
+    return REPLACEMENT in core or any("\x80" <= c <= "\x9f" for c in core)
+
+
 def chain_may_repeat(k: int) -> bool:
     return CHAINS[k - 1][-1][0] == "utf-8"
 
@@ -304,7 +348,7 @@ def _words(text: str) -> list[str]:
     for m in _WORD.finditer(text):
         word = m[0]
         for a, b in _parts(word):
-            out += [w for p in _SPACES.split(word[a:b]) if (w := p.strip(_EDGE)) and not w.isascii()]
+            out += _lookups(word[a:b])
     return out
 
 
@@ -312,14 +356,68 @@ def training_words(df: DataFrame, text: str, rows: int = TRAIN_ROWS) -> Counter:
     """Words that are not plain ASCII with the rows that hold them, of at most ``rows`` rows chosen by the hash of their
     text; the ``LEXICON_WORDS`` most frequent ones."""
     sample = sample_rows(df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")), "t", rows)
+    counted = _counted(sample).orderBy(F.desc("n"), "w").limit(LEXICON_WORDS)
+    return Counter({r["w"]: r["n"] for r in counted.collect()})
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """``w, n``: words that are not plain ASCII with the rows that hold them."""
 
     def split(batches):
         for batch in batches:
             found = [w for t in batch.column(0).to_pylist() for w in set(_words(t))]
             yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.string())], names=["w"])
 
-    counted = sample.mapInArrow(split, "w string").groupBy("w").count().orderBy(F.desc("count"), "w").limit(LEXICON_WORDS)
-    return Counter({r["w"]: r["count"] for r in counted.collect()})
+    return texts.mapInArrow(split, "w string").groupBy("w").agg(F.count("*").alias("n"))
+
+
+def _with_counts(needs: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """``key, counts``: the counts of the words ``w`` of each key, 0 of words without one."""
+    entry = F.struct("w", F.coalesce("n", F.lit(0)).alias("n"))
+    return needs.join(counts, "w", "left").groupBy(key).agg(F.collect_list(entry).alias("counts"))
+
+
+def _needs(df: DataFrame, key: str, text: str, held, whole: bool) -> DataFrame:
+    """``key, w``: the words whose counts are asked for when a text, or a single word, is judged."""
+
+    def run(batches):
+        classifier = Classifier(held.value[0], {})
+        ask = lru_cache(maxsize=100_000)(classifier.lookups)
+        for batch in batches:
+            keys, words = [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = [m[0][a:b] for m in _WORD.finditer(t) for a, b in _parts(m[0])] if whole else [t]
+                found = set().union(*map(ask, parts))
+                keys += [k] * len(found)
+                words += found
+            yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.string()), pa.array(words, type=pa.string())], names=["_h", "w"])
+
+    return df.select(F.col(key).alias("_h"), text).mapInArrow(run, "_h string, w string")
+
+
+def word_counts(texts: DataFrame, held) -> DataFrame:
+    """``w, n``: in how many of the texts each sound word is. Words that give themselves away as garbled, or that the
+    classifier takes for it by the counts of all others, are left out."""
+
+    def sound(batches):
+        for batch in batches:
+            keep = [not self_evident(w) for w in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+    counts = materialize(_counted(texts).mapInArrow(sound, "w string, n bigint"))
+
+    def bad(batches):
+        classifier = Classifier(*held.value)
+        for batch in batches:
+            found = []
+            for w, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                classifier.lexicon = {e["w"]: e["n"] for e in entries}
+                if classifier.judge(w)[0] != SOUND:
+                    found.append(w)
+            yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.string())], names=["w"])
+
+    asked = _with_counts(_needs(counts, "w", "w", held, False), "_h", counts)
+    return counts.join(asked.mapInArrow(bad, "w string"), "w", "left_anti")
 
 
 def find_garbled(df: DataFrame, key: str, text: str, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -332,14 +430,19 @@ def find_garbled(df: DataFrame, key: str, text: str, rows: int = TRAIN_ROWS) ->
     source = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.col("_t").rlike(r"[^\x00-\x7f]|&#?\w{2,8};|\+[A-Za-z0-9/]{2,}-"))
     words = training_words(df.select(F.col(text).alias("_t")), "_t", rows)
     model = Classifier.train(words)
-    held = df.sparkSession.sparkContext.broadcast((model.weights, model.lexicon))
+    there = df.agg(F.countDistinct(F.xxhash64(text)).alias("n")).first()["n"] if words else 0
+    held = df.sparkSession.sparkContext.broadcast((model.weights, {}, max(1.0, there / TRAIN_ROWS), 1))
     kind = source.schema["_k"].dataType.simpleString()
+    source = source.withColumn("_h", F.sha2("_t", 256))
+    texts = source.select("_t", "_h").dropDuplicates(["_h"])
+    counted = _with_counts(_needs(texts, "_h", "_t", held, True), "_h", word_counts(texts.select("_t"), held))
 
     def run(batches):
         classifier = Classifier(*held.value)
         for batch in batches:
             keys, counts, chains, texts, whole = [], [], [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, t, entries in zip(*(c.to_pylist() for c in batch.columns)):
+                classifier.lexicon = {e["w"]: e["n"] for e in entries}
                 found = classifier.passages(t)
                 if not found or not convincing(found):
                     continue
@@ -357,7 +460,7 @@ def find_garbled(df: DataFrame, key: str, text: str, rows: int = TRAIN_ROWS) ->
                 names=["_k", "passages", "chains", "restored_text", "whole"],
             )
 
-    out = source.mapInArrow(run, f"_k {kind}, passages int, chains array<string>, restored_text string, whole boolean")
+    out = source.join(counted, "_h").select("_k", "_t", "counts").mapInArrow(run, f"_k {kind}, passages int, chains array<string>, restored_text string, whole boolean")
     return out.dropDuplicates().withColumnRenamed("_k", key)
 
 

@@ -263,3 +263,26 @@ def test_garbled_table(spark):
     rows = {r["doc_id"]: r for r in garbled.find_garbled(docs, "doc_id", "text").collect()}
     assert set(rows) == {100, 101} and rows[100]["restored_text"] == text and rows[100]["whole"] and not rows[101]["whole"]
     assert garbled.find_garbled(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def test_garbled_words_are_counted_in_all_texts(spark):
+    """The word that speaks for the restored form is in texts beyond the sample that trains the classifier."""
+    hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    made = spark.createDataFrame([(i, f"{PROSE['de']} {i} Größenmaßstäbe") for i in range(60)], "doc_id bigint, text string")
+    beyond = made.where(hashed > (1 << 29)).limit(10)
+    plain = spark.createDataFrame([(100 + i, f"{t} {i}") for i, t in enumerate([*PROSE.values()] * 12)], "doc_id bigint, text string")
+    docs = spark.createDataFrame(beyond.unionByName(plain).collect(), "doc_id bigint, text string")
+    counts = garbled.training_words(docs, "text", docs.count() // 2)
+    assert "Größenmaßstäbe" not in counts
+    held = spark.sparkContext.broadcast((garbled.Classifier.train(counts).weights, {}, 1.0, 1))
+    found = {r["w"]: r["n"] for r in garbled.word_counts(docs.select("text"), held).collect()}
+    assert found["Größenmaßstäbe"] == 10
+
+
+def test_rules_are_relative_to_the_corpus(classifier):
+    word, bad = "für", "für".encode("cp1252").decode("cp850")
+    small = garbled.Classifier(classifier.weights, {word: 3, bad: 1}, 1.0, 1)
+    large = garbled.Classifier(classifier.weights, {word: 300, bad: 100}, 100.0, 1)
+    one = garbled.Classifier(classifier.weights, {word: 3, bad: 1}, 100.0, 1)
+    assert small.judge(bad)[:2] == large.judge(bad)[:2] != one.judge(bad)[:2]
+    assert {word, bad} <= small.lookups(bad) and not small.lookups("plain")
