@@ -78,7 +78,9 @@ _JOINT = re.compile(r"(?<=[\x21-\x7e])\xa0|(?<=[\xdf-\xff])\xa0(?=[A-Za-z(])")
 _LATIN, _OTHER_ALPHABET = re.compile(r"[A-Za-zÀ-ɏ]"), re.compile(r"[Ͱ-࿿一-鿿]")
 _HIGH_LATIN, _IDEOGRAPH, _RUN = re.compile(r"[\x80-ɏ]"), re.compile(r"[⺀-\uffdc]"), re.compile(r"[⺀-\uffdc]+|[^⺀-\uffdc]+")
 _PIECE = re.compile(r"[^。！？\n]*[。！？]?")
-_WIDEST = 400
+#: Characters of a run at least that are judged by themselves if the whole can't be inverted, characters at most that a
+#: cut is moved by to where the bytes decode, and features that are added up at once.
+_WIDEST, _REACH, _AT_ONCE = 400, 64, 8_192
 
 
 @lru_cache(maxsize=None)
@@ -149,7 +151,7 @@ def unescape(word: str) -> str:
 
 def features(word: str) -> np.ndarray:
     """Buckets of the byte bigrams that touch a byte beyond ASCII; of a plain ASCII word all."""
-    data = np.frombuffer(b" " + word.encode("utf-8", "surrogatepass")[:_WIDEST * 4] + b" ", dtype=np.uint8).astype(np.int64)
+    data = np.frombuffer(b" " + word.encode("utf-8", "surrogatepass") + b" ", dtype=np.uint8).astype(np.int64)
     left, right = data[:-1], data[1:]
     pairs = left * 256 + right
     if (data > 127).any():
@@ -195,7 +197,8 @@ class Classifier:
         return model
 
     def scores(self, word: str) -> np.ndarray:
-        return self.weights[features(word)].sum(axis=0)
+        f = features(word)
+        return sum(self.weights[f[i : i + _AT_ONCE]].sum(axis=0) for i in range(0, len(f), _AT_ONCE))
 
     def _likeness(self, word: str) -> float:
         """Mean log likelihood of the word as sound text."""
@@ -288,9 +291,30 @@ class Classifier:
         for m in _WORD.finditer(text):
             word = m[0]
             for a, b in _parts(word):
-                chain, before, margin = self.known(word[a:b])
-                if chain != SOUND:
-                    out.append((m.start() + a, m.start() + b, chain, before, margin))
+                if b - a <= _WIDEST:
+                    found = [(a, b, *self.known(word[a:b]))]
+                else:
+                    found = [(a, b, *self.judge(word[a:b]))]
+                    if found[0][3] is None:
+                        found = [(a + x, a + y, *self.judge(word[a + x : a + y])) for x, y in self.stretches(word[a:b])]
+                for x, y, chain, before, margin in found:
+                    if chain != SOUND:
+                        out.append((m.start() + x, m.start() + y, chain, before, margin))
+        return out
+
+    def stretches(self, run: str) -> list[tuple[int, int]]:
+        """Cuts of a long run that can't be inverted as a whole, each where a likely chain's bytes decode up to it."""
+        out, at = [], 0
+        references = [m.span() for m in _REFERENCE.finditer(run)]
+        while at < len(run):
+            end = min(at + _WIDEST, len(run))
+            end = next((y for x, y in references if x < end < y), end)
+            score = self.scores(unescape(run[at:end]))
+            likely = [CHAINS[k] for k in np.argsort(-score[1:])[:3] if score[k + 1] > score[0]]
+            ends = [e for e in range(end, min(end + _REACH, len(run) + 1)) if not any(x < e < y for x, y in references)]
+            end = next((e for chain in likely for e in ends if invert(unescape(run[at:e]), chain) is not None), end)
+            out.append((at, end))
+            at = end
         return out
 
 
@@ -319,7 +343,7 @@ def _mixes_scripts(text: str) -> bool:
 
 
 def _parts(word: str) -> list[tuple[int, int]]:
-    """The word, or if it is long, its stretches up to each full stop of a script without spaces."""
+    """The word, or if it is long, its parts up to each full stop of a script without spaces."""
     if _REFERENCE.search(word):
         return [(0, len(word))]
     if "\xa0" in word and (cuts := [m.start() for m in _JOINT.finditer(word)]):
@@ -334,8 +358,7 @@ def _parts_of(word: str) -> list[tuple[int, int]]:
         return [(m.start() + a, m.start() + b) for m in _RUN.finditer(word) if not m[0].isascii() for a, b in _parts_of(m[0])]
     if len(word) <= 40:
         return [(0, len(word))]
-    cuts = [(m.start(), m.end()) for m in _PIECE.finditer(word) if m.end() > m.start()]
-    return [(a + k, min(b, a + k + _WIDEST)) for a, b in cuts for k in range(0, b - a, _WIDEST)]
+    return [(m.start(), m.end()) for m in _PIECE.finditer(word) if m.end() > m.start()]
 
 
 def self_evident(word: str) -> bool:
@@ -382,7 +405,13 @@ def _needs(df: DataFrame, key: str, text: str, held, whole: bool) -> DataFrame:
 
     def run(batches):
         classifier = Classifier(held.value[0], {})
-        ask = lru_cache(maxsize=100_000)(classifier.lookups)
+        known = lru_cache(maxsize=100_000)(classifier.lookups)
+
+        def ask(part):
+            if len(part) <= _WIDEST:
+                return known(part)
+            return classifier.lookups(part).union(*(classifier.lookups(part[a:b]) for a, b in classifier.stretches(part)))
+
         for batch in batches:
             keys, words = [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -286,3 +286,15 @@ def test_rules_are_relative_to_the_corpus(classifier):
     one = garbled.Classifier(classifier.weights, {word: 3, bad: 1}, 100.0, 1)
     assert small.judge(bad)[:2] == large.judge(bad)[:2] != one.judge(bad)[:2]
     assert {word, bad} <= small.lookups(bad) and not small.lookups("plain")
+
+
+def test_long_runs_are_inverted_as_wholes(classifier):
+    text = "今日は核とノルムについて考えてみましょう" * 40
+    bad = garbled.garble(text, garbled.CHAINS[0])
+    assert garbled.invert(bad, garbled.CHAINS[0]) == text and len(bad) > 2_000
+    assert [(a, b, before) for a, b, _, before, _ in classifier.passages(bad)] == [(0, len(bad), text)]
+    # A run that breaks in one place is restored up to the stretch of the break.
+    broken = bad[:1500] + "\u0081\u0152" + bad[1500:]
+    found = classifier.passages(broken)
+    assert sum(b - a for a, b, _, before, _ in found if before is not None) > len(bad) - 1_200
+    assert len(garbled.features("é" * 5_000)) > 9_000
