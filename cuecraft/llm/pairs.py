@@ -8,7 +8,8 @@
 * ``language``: the language posteriors of question and answer, by naive Bayes on character n-grams, disagree with a
   margin, and the question does not ask for the other language.
 
-The first of these that holds is given; both models are fitted on bounded samples (``SAMPLE_ROWS``).
+The first of these that holds is given. The languages are fitted on a bounded sample (``SAMPLE_ROWS``); the n-grams of
+ends are counted over the answers of all distinct pairs, and an answer is judged by what the others have.
 """
 
 from __future__ import annotations
@@ -27,10 +28,13 @@ from pyspark.sql import functions as F
 from cuecraft.llm.linking import distance
 from cuecraft.llm.sampling import sample_rows
 from cuecraft.llm.sentences import NEVER_LAST, spans
+from cuecraft.session import materialize
 
 SAMPLE_ROWS = 8_000
 LANGUAGES = ("en", "de", "fr", "es", "it")
 BUCKETS = 1 << 16
+#: Likelihood of an end under which a text breaks off, and n-grams that a task counts before it hands them on.
+LEAST, HELD_GRAMS = 0.06, 500_000
 
 # Labels and words of the five languages.
 ANSWER_LABELS = ("answer", "antwort", "réponse", "reponse", "respuesta", "risposta", "a", "response", "reply")
@@ -191,6 +195,11 @@ class EndModel:
     @classmethod
     def train(cls, texts: list[str]) -> EndModel:
         at_end, anywhere = Counter(), Counter()
+        cls.count(texts, at_end, anywhere)
+        return cls(at_end, anywhere)
+
+    @classmethod
+    def count(cls, texts: list[str], at_end: Counter, anywhere: Counter) -> None:
         for text in texts:
             s = cls.shape(text)
             # Only texts that end with a terminator or are brief can show how texts end.
@@ -199,20 +208,41 @@ class EndModel:
                 if ended:
                     at_end[s[-n:]] += 1
                 anywhere.update(s[i : i + n] for i in range(max(0, len(s) - n + 1)))
-        return cls({k: v for k, v in at_end.items()}, {k: v for k, v in anywhere.items() if v > 1})
+
+    @classmethod
+    def grams(cls, text: str) -> list[str]:
+        s = cls.shape(text)
+        return [s[-n:] for n in range(1, cls.LONGEST + 1)]
 
     def likelihood(self, text: str) -> float:
-        s, p = self.shape(text), 0.02
-        for n in range(1, self.LONGEST + 1):
-            gram = s[-n:]
-            total, ends = self.anywhere.get(gram, 0), self.at_end.get(gram, 0)
-            # This text itself may be one of those counted.
-            total, ends = max(0, total - 1), max(0, min(ends, total) - 1)
-            p = (ends + 3.0 * p) / (total + 3.0)
+        return self.of_grams(self.grams(text))
+
+    def of_grams(self, grams: list[str]) -> float:
+        p = 0.02
+        for gram in grams:
+            total = self.anywhere.get(gram, 0)
+            p = (min(self.at_end.get(gram, 0), total) + 3.0 * p) / (total + 3.0)
         return p
 
 
-def is_truncated(answer: str, inner: str, whole: bool, ends: EndModel, least: float = 0.06) -> bool:
+class OpenEnds:
+    """Takes every end for likely and keeps the text that it was asked about."""
+
+    def __init__(self):
+        self.asked: str | None = None
+
+    def likelihood(self, text: str) -> float:
+        self.asked = text
+        return 1.0
+
+
+def counted_text(answer: str) -> str | None:
+    """What the n-gram model counts of an answer, if it counts it."""
+    text = _visible(_CODE.sub(" ", answer)).rstrip("*_")
+    return text if text and not text.startswith("{") else None
+
+
+def is_truncated(answer: str, inner: str, whole: bool, ends: EndModel | OpenEnds, least: float = LEAST) -> bool:
     """Whether the answer breaks off: something stays open, or its end is an unlikely one."""
     if whole:
         text = inner.strip()
@@ -294,7 +324,7 @@ def wrong_language(question: str | None, answer: str, model: LanguageModel, marg
     return a[la] - a[lq] > margin and q[lq] - q[la] > margin / 2
 
 
-def defect(question: str | None, answer: str | None, ends: EndModel, languages: LanguageModel) -> str | None:
+def defect(question: str | None, answer: str | None, ends: EndModel | OpenEnds, languages: LanguageModel) -> str | None:
     """The defect of the pair, or null."""
     if is_empty(answer):
         return "empty"
@@ -311,6 +341,47 @@ def defect(question: str | None, answer: str | None, ends: EndModel, languages:
     return None
 
 
+def end_counts(answers: DataFrame) -> DataFrame:
+    """``gram, total, ends``: how often each n-gram is in the answers, and at the end of those that end well."""
+
+    def run(batches):
+        at_end, anywhere = Counter(), Counter()
+
+        def handed_on():
+            grams = list(anywhere.keys() | at_end.keys())
+            out = pa.RecordBatch.from_arrays([pa.array(grams, type=pa.string()), pa.array([anywhere[g] for g in grams], type=pa.int64()), pa.array([at_end[g] for g in grams], type=pa.int64())], names=["gram", "total", "ends"])
+            at_end.clear(), anywhere.clear()
+            return out
+
+        for batch in batches:
+            for a in batch.column(0).to_pylist():
+                if (t := counted_text(a)) is not None:
+                    EndModel.count([t], at_end, anywhere)
+                if len(anywhere) > HELD_GRAMS:
+                    yield handed_on()
+        yield handed_on()
+
+    counted = answers.mapInArrow(run, "gram string, total bigint, ends bigint")
+    return counted.groupBy("gram").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
+
+
+def unlikely_ends(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """``asked, unlikely`` of ends: JSON lists of n-grams, each with what the judged answer adds to its two counts."""
+    grams = asked.select("asked", F.explode(F.from_json("asked", "array<struct<g:string,t:bigint,e:bigint>>")).alias("x")).select("asked", F.col("x.g").alias("gram"), F.col("x.t").alias("t"), F.col("x.e").alias("e"))
+    less = F.struct("gram", F.greatest(F.lit(0), F.coalesce("total", F.lit(0)) - F.col("t")).alias("total"), F.greatest(F.lit(0), F.coalesce("ends", F.lit(0)) - F.col("e")).alias("ends"))
+    found = grams.distinct().join(counts, "gram", "left").groupBy("asked").agg(F.collect_list(less).alias("counts"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for asked, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                model = EndModel({x["gram"]: x["ends"] for x in entries}, {x["gram"]: x["total"] for x in entries})
+                out.append(model.of_grams([x["g"] for x in json.loads(asked)]) < LEAST)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.bool_())], names=["asked", "unlikely"])
+
+    return found.mapInArrow(run, "asked string, unlikely boolean")
+
+
 def find_defects(pairs: DataFrame, labelled: DataFrame, key: str = "ask_id", question: str = "question", answer: str = "answer", rows: int = SAMPLE_ROWS) -> DataFrame:
     """``key, defect`` of every defective pair; ``labelled`` has ``text`` and ``lang`` to learn languages from.
 
@@ -318,20 +389,30 @@ def find_defects(pairs: DataFrame, labelled: DataFrame, key: str = "ask_id", que
     key and texts count once; an empty table gives an empty result. Other columns are not read.
     """
     source = pairs.select(F.col(key).alias("_k"), F.col(question).alias("_q"), F.col(answer).alias("_a"))
-    texts = sample_rows(source.where(F.col("_a").isNotNull()).select("_a"), "_a", rows)
-    ends = EndModel.train([t for r in texts.collect() if (t := _visible(_CODE.sub(" ", r["_a"])).rstrip("*_")) and not t.startswith("{")])
     lang = F.lower(F.trim("lang"))
     sample = sample_rows(labelled.where(lang.isin(*LANGUAGES) & F.col("text").isNotNull()).select("text", lang.alias("lang")), "text", rows // 2)
     model = LanguageModel.train([(r["text"], r["lang"]) for r in sample.collect()])
-    held = pairs.sparkSession.sparkContext.broadcast((ends.at_end, ends.anywhere, model.weights))
+    held = pairs.sparkSession.sparkContext.broadcast(model.weights)
     kind = source.schema["_k"].dataType.simpleString()
 
     def run(batches):
-        at_end, anywhere, weights = held.value
-        judge = lru_cache(maxsize=20_000)(lambda q, a: defect(q, a, end_model, language_model))
-        end_model, language_model = EndModel(at_end, anywhere), LanguageModel(weights)
+        language_model = LanguageModel(held.value)
+
+        @lru_cache(maxsize=20_000)
+        def judge(q, a):
+            ends = OpenEnds()
+            found = defect(q, a, ends, language_model)
+            if ends.asked is None:
+                return found, None
+            own = EndModel.train([t] if (t := counted_text(a)) is not None else [])
+            return found, json.dumps([{"g": g, "t": own.anywhere.get(g, 0), "e": own.at_end.get(g, 0)} for g in EndModel.grams(ends.asked)])
+
         for batch in batches:
             found = [judge(q, a) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.string())], names=["_k", "defect"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], type=pa.string()), pa.array([x for _, x in found], type=pa.string())], names=["_k", "defect", "asked"])
 
-    return source.mapInArrow(run, f"_k {kind}, defect string").where("defect IS NOT NULL").dropDuplicates().withColumnRenamed("_k", key)
+    found = materialize(source.mapInArrow(run, f"_k {kind}, defect string, asked string").where("defect IS NOT NULL OR asked IS NOT NULL").dropDuplicates())
+    unlikely = unlikely_ends(found.select("asked").where("asked IS NOT NULL").distinct(), end_counts(source.where(F.col("_a").isNotNull()).select("_q", "_a").dropDuplicates().select("_a")))
+    judged = found.where("asked IS NOT NULL").join(unlikely, "asked").select("_k", F.when(F.col("unlikely"), F.lit("truncated")).otherwise(F.col("defect")).alias("defect"))
+    out = found.where("asked IS NULL").select("_k", "defect").unionByName(judged)
+    return out.where("defect IS NOT NULL").dropDuplicates().withColumnRenamed("_k", key)

@@ -298,3 +298,22 @@ def test_long_runs_are_inverted_as_wholes(classifier):
     found = classifier.passages(broken)
     assert sum(b - a for a, b, _, before, _ in found if before is not None) > len(bad) - 1_200
     assert len(garbled.features("é" * 5_000)) > 9_000
+
+
+def test_ends_are_counted_in_all_answers(spark):
+    made = [(i, f"Question {i}?", f"{PROSE['en']} number {i}\nIt is a norm") for i in range(40)] + [(100 + i, f"Question {i}?", f"It holds {i}: It is a norm.") for i in range(40)]
+    log = spark.createDataFrame(made, "ask_id bigint, question string, answer string")
+    labelled = spark.createDataFrame([(t, lang) for lang, t in PROSE.items()], "text string, lang string")
+    counts = {r["gram"]: (r["total"], r["ends"]) for r in pairs.end_counts(log.select("answer")).collect()}
+    ends = pairs.EndModel.train([a for _, _, a in made])
+    assert counts == {g: (n, ends.at_end[g]) for g, n in ends.anywhere.items()}
+    # However few rows the languages are learned from, the same answers break off.
+    few, all_rows = (sorted(map(tuple, pairs.find_defects(log, labelled, rows=n).collect())) for n in (4, 8_000))
+    assert few == all_rows
+
+
+def test_an_end_counts_without_the_answer_itself(spark):
+    own = [{"g": "m", "t": 2, "e": 1}]
+    asked = spark.createDataFrame([(__import__("json").dumps(own),), (__import__("json").dumps([own[0] | {"t": 0, "e": 0}]),)], "asked string")
+    counts = spark.createDataFrame([("m", 2, 1)], "gram string, total bigint, ends bigint")
+    assert sorted(r["unlikely"] for r in pairs.unlikely_ends(asked, counts).collect()) == [False, True]
