@@ -22,7 +22,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
-from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -125,7 +124,7 @@ for _lang, _words in COMMON_WORDS.items():
 _SOFT_TERMS = ".!?…‼⁇⁈⁉"
 _HARD_TERMS = "".join(sorted(set(_having("STerm")) - set(_SOFT_TERMS) | set("།༎．｡")))
 _TERM = _HARD_TERMS + _SOFT_TERMS
-_TERMS = frozenset(_TERM)
+_TERMS, _HARD = frozenset(_TERM), frozenset(_HARD_TERMS)
 # Closing marks: those of Close that can stand at an end, which in some languages are those that open in others.
 _CLOSERS = frozenset(c for c in _having("Close") if unicodedata.category(c) in ("Pe", "Pf")) | frozenset("\"'‘“›»")
 #: Quotation marks to their closing marks; brackets of all scripts come on top of them.
@@ -164,6 +163,7 @@ class Passage:
     def __init__(self, text: str):
         self.text = text
         self.size = 0 if text.isascii() else 2 if _ASTRAL.search(text) else 1
+        self.thai = self.size > 0 and _THAI_LETTER.search(text) is not None
         self._whole: dict[str, int] | None = None
 
     def languages(self, low: int, high: int) -> dict[str, int]:
@@ -189,8 +189,7 @@ class Passage:
         if nxt >= high or not text[nxt].isupper() or not langs & COMMON_WORDS.keys():
             return True
         if text[dot - len(low)].isupper():
-            here = self.languages(max(start, dot - 200), min(high, dot + 100))
-            return len(langs) > 2 or not here or not langs.isdisjoint(here)
+            return len(langs) > 2 or not (here := self.languages(max(start, dot - 200), min(high, dot + 100))) or not langs.isdisjoint(here)
         here = self.languages(start, min(high, dot + 40))
         most = max(here.values(), default=0)
         here = [lang for lang, n in here.items() if n > 0.5 * most]
@@ -200,11 +199,12 @@ class Passage:
 @lru_cache(maxsize=4_096)
 def _told(text: str) -> dict[str, int]:
     """How many common words of each language the text has."""
-    hits: Counter = Counter()
+    hits: dict[str, int] = {}
     for w in _WORDS.findall(text.lower()):
-        for lang in _COMMON.get(w, ()):
-            hits[lang] += 1
-    return dict(hits)
+        if w in _COMMON:
+            for lang in _COMMON[w]:
+                hits[lang] = hits.get(lang, 0) + 1
+    return hits
 
 
 class Pairs:
@@ -285,7 +285,6 @@ def _full_stop_ends(passage: Passage, start: int, dot: int, after: int, nxt: int
     is no white space, ``after`` follows the stop and its closing marks."""
     text = passage.text
     ch = text[nxt]
-    has = lambda table, low: passage.has(table, low, start, dot, nxt, high)
     spaced = nxt > after
     token, token_at = _token_before(text, dot, start)
     token = token.lstrip("\"'“„«»(‚‘[¿¡「『")
@@ -303,7 +302,7 @@ def _full_stop_ends(passage: Passage, start: int, dot: int, after: int, nxt: int
             if last.isdigit() or last == ")" or last in _CLOSERS:
                 return True
             low = token.lower()
-            return last.isalpha() and not has(_NEVER, low) and not has(_NUMBER, low) and not (len(token) == 1 and last.isupper()) and "." not in token
+            return last.isalpha() and not (low in _NEVER and passage.has(_NEVER, low, start, dot, nxt, high)) and not (low in _NUMBER and passage.has(_NUMBER, low, start, dot, nxt, high)) and not (len(token) == 1 and last.isupper()) and "." not in token
         if ch in "¿¡" or ch in "„«“「『":
             return True
         if ch in '("' and nxt + 1 < high and text[nxt + 1].isalpha():
@@ -312,14 +311,14 @@ def _full_stop_ends(passage: Passage, start: int, dot: int, after: int, nxt: int
     low = token.lower()
     digit, lower, upper = ch.isdigit(), ch.islower(), ch.isupper()
     if len(token) == 1 and token.isalpha():
-        if not _cased(last) and has(_NEVER, low):
+        if not _cased(last) and (low in _NEVER and passage.has(_NEVER, low, start, dot, nxt, high)):
             return False
         before = _word_before(text, token_at, start)
         if len(before) == 2 and before[1] == "." and before[0].isalpha():
             pair = f"{before[0]}.{token}".lower()
-            if has(_NEVER, pair):
+            if (pair in _NEVER and passage.has(_NEVER, pair, start, dot, nxt, high)):
                 return False
-            if has(_MAYBE, pair):
+            if (pair in _MAYBE and passage.has(_MAYBE, pair, start, dot, nxt, high)):
                 return not lower
         if digit:
             if low in "psсnсص№" or low == "п" or (last.isupper() and low in "s"):
@@ -347,13 +346,13 @@ def _full_stop_ends(passage: Passage, start: int, dot: int, after: int, nxt: int
             return low not in "zсд"
         return True
     if "." in token and not _NUMERIC.match(token):
-        if has(_NEVER, low):
+        if (low in _NEVER and passage.has(_NEVER, low, start, dot, nxt, high)):
             return False
-        if has(_MAYBE, low):
+        if (low in _MAYBE and passage.has(_MAYBE, low, start, dot, nxt, high)):
             return not lower
         if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", token):
             return upper and not lower
-        return not digit or not has(_NEVER, low.rsplit(".", 1)[-1])
+        return not digit or not passage.has(_NEVER, low.rsplit(".", 1)[-1], start, dot, nxt, high)
     if _NUMERIC.match(token):
         before = _word_before(text, token_at, start)
         cue = before.lower() in ORDINAL_CUES
@@ -375,24 +374,24 @@ def _full_stop_ends(passage: Passage, start: int, dot: int, after: int, nxt: int
     core = low.rstrip(")\"'”»’")
     if core not in _SHORT:
         return True
-    if has(_NEVER, core):
+    if (core in _NEVER and passage.has(_NEVER, core, start, dot, nxt, high)):
         return False
-    if has(_NUMBER, core):
+    if (core in _NUMBER and passage.has(_NUMBER, core, start, dot, nxt, high)):
         return not (digit or ch in "(§")
-    if has(_MAYBE, core):
+    if (core in _MAYBE and passage.has(_MAYBE, core, start, dot, nxt, high)):
         return not lower
     return True
 
 
 def _scan(passage: Passage, low: int, high: int, out: list[tuple[int, int]]) -> None:
     """Sentences of the block ``low..high``, which no unit crosses; line ends inside are white space."""
-    text, pairs = passage.text, Pairs(passage.text, low, high)
+    text, pairs = passage.text, None
     start = low
     while start < high and text[start].isspace():
         start += 1
     at = start
     _, plain, thai = _MARKS[passage.size]
-    search = (thai if passage.size and _THAI_LETTER.search(text, low, high) else plain).search
+    search = (thai if passage.thai and _THAI_LETTER.search(text, low, high) else plain).search
     while at < high:
         m = search(text, at, high)
         if m is None:
@@ -420,6 +419,7 @@ def _scan(passage: Passage, low: int, high: int, out: list[tuple[int, int]]) ->
             continue
         if ch in _PAIRS:
             at = i + 1
+            pairs = pairs or Pairs(text, low, high)
             inner = -1 if ch in "([" and i > low and text[i - 1].isalnum() else _skip(text, i, high, start, pairs)
             if inner < 0:
                 continue
@@ -467,7 +467,7 @@ def _scan(passage: Passage, low: int, high: int, out: list[tuple[int, int]]) ->
                 pass
             else:
                 continue
-        if last in _HARD_TERMS or ch in _HARD_TERMS:
+        if last in _HARD or ch in _HARD:
             if ch == "．" and j - i == 1 and i > low and text[i - 1].isdigit() and follow.isdigit() and nxt == at:
                 continue
             if at > j and not _cased(follow) and text.startswith(QUOTATIVE, nxt):
@@ -535,7 +535,7 @@ def _open_end(passage: Passage, start: int, end: int, nxt: int, high: int) -> bo
     last = text[k - 1]
     if _thai(last):
         return False
-    if last in _HARD_TERMS or last in "!?":
+    if last in _HARD or last in "!?":
         return False
     if last not in _SOFT_TERMS:
         return True
