@@ -5,16 +5,19 @@
 * ``refusal``: its sentences decline or report failure, by word patterns of inability or will with verbs of answering.
 * ``truncated``: a construct stays open (quotation of a whole object, code, formula), or the end is unlikely under a
   character n-gram model of where texts end.
-* ``language``: the language posteriors of question and answer, by naive Bayes on character n-grams, disagree with a
-  margin, and the question does not ask for the other language.
+* ``language``: the language posteriors of question and answer, by naive Bayes on character n-grams, are sure of two
+  languages, and the question does not ask for the other one. Posteriors are tempered by one factor that is fitted on
+  labelled snippets, so that they are as sure as they are right.
 
 The first of these that holds is given. The languages are fitted on a bounded sample (``SAMPLE_ROWS``); the n-grams of
-ends are counted over the answers of all distinct pairs, and an answer is judged by what the others have.
+ends are counted over the answers of all distinct pairs, and an answer is judged by what the others have. N-grams are
+counted by 64-bit rolling hashes, and only those that stand at an end that is asked about.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -30,11 +33,15 @@ from cuecraft.llm.sampling import sample_rows
 from cuecraft.llm.sentences import NEVER_LAST, spans
 from cuecraft.session import materialize
 
-SAMPLE_ROWS = 8_000
+#: Rows of the labelled table at most that teach the languages.
+SAMPLE_ROWS = 9_000
 LANGUAGES = ("en", "de", "fr", "es", "it")
 BUCKETS = 1 << 16
-#: Likelihood of an end under which a text breaks off, and n-grams that a task counts before it hands them on.
-LEAST, HELD_GRAMS = 0.06, 500_000
+#: Likelihood of an end under which a text breaks off, n-grams that a task counts before it hands them on, and slots of
+#: the filter of n-grams that are asked for.
+LEAST, HELD_GRAMS, SLOTS = 0.06, 500_000, 1 << 22
+#: Probability that question and answer are in one language under which they aren't.
+SAME_LANGUAGE = 1e-6
 
 # Labels and words of the five languages.
 ANSWER_LABELS = ("answer", "antwort", "réponse", "reponse", "respuesta", "risposta", "a", "response", "reply")
@@ -86,6 +93,8 @@ _REFUSAL = re.compile("|".join(p for patterns in REFUSALS.values() for p in patt
 _FENCE = re.compile(r"```[^\n`]*\n?|```")
 _CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>")
+_DIGITS = re.compile(r"\d+")
+_ENDS = frozenset(".!?…。！？।؟$")
 _FORMULA = re.compile(r"\$[^$]*\$|\\[A-Za-z]+(?:\{[^{}]*\})*")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 _WORD_OR_MARK = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[¿¡]")
@@ -97,7 +106,10 @@ _NAME_LANGUAGE = {w: lang for lang, names in LANGUAGE_NAMES.items() for w in nam
 
 
 def _visible(text: str) -> str:
-    return "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Cc") or c in "\n\t\r").strip()
+    """The text without format and control characters, and stripped."""
+    if text.isprintable():
+        return text.strip()
+    return "".join(c for c in text if c in "\n\t\r" or c.isprintable() or unicodedata.category(c) not in ("Cf", "Cc")).strip()
 
 
 def unwrap(answer: str) -> tuple[str, bool]:
@@ -152,22 +164,41 @@ def is_copy(question: str | None, answer: str) -> bool:
     return _given_back(a, q) or any(_given_back(a, _words(question[x:])) for x, _ in spans(question)[1:])
 
 
+def _alike(x: str, y: str) -> bool:
+    """Equal up to one edit in short words and two in longer ones."""
+    if x == y:
+        return True
+    if len(x) < 3 or len(y) < 2 or abs(len(x) - len(y)) > 2:
+        return False
+    most = 1 if min(len(x), len(y)) < 5 else 2
+    return distance(x, y, most) <= most
+
+
 def _given_back(a: list[str], q: list[str]) -> bool:
+    """At least 85 % of the longer list is paired in order. Pairs of such an alignment lie within 15 % of the lengths'
+    diagonal, so only that band is filled; it ends as soon as too few words can still be paired."""
     if not q or not 0.8 <= len(a) / len(q) <= 1.25:
         return False
     if a == q:
         return True
-    if len(a) * len(q) > 40_000:
-        return False
+    longest = max(len(a), len(q))
+    spare = longest - math.ceil(0.85 * longest - 1e-9)  # words of the longer list that may stay without a pair
+    least = longest - spare
     row = [0] * (len(q) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(q, 1):
-            keep = row[j]
-            same = x == y or len(x) > 2 and len(y) > 1 and abs(len(x) - len(y)) < 3 and distance(x, y, 1 if min(len(x), len(y)) < 5 else 2) <= (1 if min(len(x), len(y)) < 5 else 2)
-            row[j] = last + 1 if same else max(row[j], row[j - 1])
+    for i, x in enumerate(a):
+        low, high = max(0, i - spare), min(len(q), i + spare + 1)
+        last = row[low]
+        if low:
+            row[low] = max(row[low], row[low - 1])
+        for j in range(low, high):
+            keep = row[j + 1]
+            row[j + 1] = last + 1 if _alike(x, q[j]) else max(keep, row[j])
             last = keep
-    return row[-1] >= 0.85 * max(len(a), len(q))
+        if row[high] + len(a) - i - 1 < least:
+            return False
+        if high < len(q):  # the next row's band reaches one further
+            row[high + 1] = max(row[high + 1], row[high])
+    return row[-1] >= least
 
 
 def is_refusal(answer: str) -> bool:
@@ -181,43 +212,90 @@ def is_refusal(answer: str) -> bool:
 
 
 class EndModel:
-    """Likelihood that a text ends after its last characters: interpolated n-gram counts of ends over all places."""
+    """Likelihood that a text ends after its last characters: interpolated n-gram counts of ends over all places.
+
+    An n-gram is the rolling hash of its characters; the hash of a longer one goes on from that of its own end.
+    """
 
     LONGEST = 6
+    _POWERS = np.array([pow(0x9E3779B97F4A7C15, n, 1 << 64) for n in range(LONGEST)], dtype=np.uint64)
+    _SALTS = np.array([n * 0xD1B54A32D192ED03 % (1 << 64) for n in range(1, LONGEST + 1)], dtype=np.uint64)
+    _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
-    def __init__(self, at_end: dict[str, int], anywhere: dict[str, int]):
+    def __init__(self, at_end: dict[int, int], anywhere: dict[int, int]):
         self.at_end, self.anywhere = at_end, anywhere
 
     @staticmethod
     def shape(text: str) -> str:
-        return "^" + re.sub(r"\d+", "9", " ".join(text.split()).casefold())
+        return "^" + _DIGITS.sub("9", " ".join(text.split()).casefold())
 
     @classmethod
-    def train(cls, texts: list[str]) -> EndModel:
-        at_end, anywhere = Counter(), Counter()
-        cls.count(texts, at_end, anywhere)
-        return cls(at_end, anywhere)
+    def hashes(cls, points: np.ndarray) -> list[np.ndarray]:
+        """For n from 1, the hashes of the n-grams that end at each place; places before the n-th have none that counts."""
+        c = points.astype(np.uint64) + np.uint64(1)
+        out, h = [], np.zeros(len(c), dtype=np.uint64)
+        for n in range(1, cls.LONGEST + 1):
+            if n <= len(c):
+                h[n - 1 :] += c[: len(c) - n + 1] * cls._POWERS[n - 1]
+            mixed = (h + cls._SALTS[n - 1]) * cls._MIX
+            out.append((mixed ^ (mixed >> np.uint64(29))).view(np.int64))
+        return out
 
     @classmethod
-    def count(cls, texts: list[str], at_end: Counter, anywhere: Counter) -> None:
-        for text in texts:
-            s = cls.shape(text)
-            # Only texts that end with a terminator or are brief can show how texts end.
-            ended = s.rstrip("\"'”“»’)]*_ ")[-1:] in set(".!?…。！？।؟$") or sum(len(w) > 1 for w in _words(text)) <= 4
-            for n in range(1, cls.LONGEST + 1):
-                if ended:
-                    at_end[s[-n:]] += 1
-                anywhere.update(s[i : i + n] for i in range(max(0, len(s) - n + 1)))
+    def ended(cls, text: str, shape: str) -> bool:
+        """Only texts that end with a terminator or are brief can show how texts end."""
+        return shape.rstrip("\"'”“»’)]*_ ")[-1:] in _ENDS or sum(len(w) > 1 for w in _words(text)) <= 4
 
     @classmethod
-    def grams(cls, text: str) -> list[str]:
-        s = cls.shape(text)
-        return [s[-n:] for n in range(1, cls.LONGEST + 1)]
+    def grams(cls, text: str) -> list[int]:
+        """The n-grams at the end of the text, the shortest first."""
+        s = cls.shape(text)[-cls.LONGEST :]
+        points = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        return [int(h[-1]) for h in cls.hashes(points)[: len(points)]]
+
+    @classmethod
+    def count(cls, texts: list[str], asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """N-grams of the texts, how often they are anywhere, and how often at an end; with ``asked`` (bits of slots) only
+        those whose slot is set."""
+        shapes = [cls.shape(t) for t in texts]
+        ended = np.array([cls.ended(t, s) for t, s in zip(texts, shapes)], dtype=bool)
+        sizes = np.array([len(s) for s in shapes], dtype=np.int64)
+        points = np.frombuffer("".join(shapes).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        stop = np.cumsum(sizes)
+        depth = np.arange(len(points)) - np.repeat(stop - sizes, sizes)  # places ahead of each in its text
+        symbols, letter = np.unique(points, return_inverse=True)
+        found = []
+        for n, h in enumerate(cls.hashes(points), 1):
+            take = depth >= n - 1
+            if n < 3 and len(symbols) <= 2_000:
+                # Few kinds, in many places: one slot for each, and a place that shows its hash.
+                slot = letter[take] if n == 1 else letter[:-1][take[1:]] * len(symbols) + letter[1:][take[1:]]
+                shown = np.zeros(len(symbols) ** n, dtype=np.int64)
+                shown[slot] = np.flatnonzero(take)
+                total = np.bincount(slot, minlength=len(shown))
+                grams, total = h[shown[total > 0]], total[total > 0]
+                order = np.argsort(grams)
+                grams, total = grams[order], total[order]
+            else:
+                grams, total = np.unique(h[take & _is_set(asked, h)] if asked is not None else h[take], return_counts=True)
+            at_end, count = np.unique(h[stop[ended & (sizes >= n)] - 1], return_counts=True)
+            ends = np.zeros(len(grams), dtype=np.int64)
+            if len(grams):
+                place = np.minimum(np.searchsorted(grams, at_end), len(grams) - 1)
+                same = grams[place] == at_end
+                ends[place[same]] = count[same]
+            found.append((grams, total, ends))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    @classmethod
+    def train(cls, texts: list[str]) -> EndModel:
+        grams, total, ends = cls.count(texts)
+        return cls(Counter({g: n for g, n in zip(grams.tolist(), ends.tolist()) if n}), dict(zip(grams.tolist(), total.tolist())))
 
     def likelihood(self, text: str) -> float:
         return self.of_grams(self.grams(text))
 
-    def of_grams(self, grams: list[str]) -> float:
+    def of_grams(self, grams: list[int]) -> float:
         p = 0.02
         for gram in grams:
             total = self.anywhere.get(gram, 0)
@@ -225,6 +303,11 @@ class EndModel:
         return p
 
 
+def _is_set(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    slots = grams & np.int64(SLOTS - 1)
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
 class OpenEnds:
     """Takes every end for likely and keeps the text that it was asked about."""
 
@@ -276,8 +359,8 @@ def is_truncated(answer: str, inner: str, whole: bool, ends: EndModel | OpenEnds
 class LanguageModel:
     """Naive Bayes on hashed character n-grams of one to three characters."""
 
-    def __init__(self, weights: np.ndarray, languages: tuple[str, ...] = LANGUAGES):
-        self.weights, self.languages = weights, languages
+    def __init__(self, weights: np.ndarray, languages: tuple[str, ...] = LANGUAGES, temper: float = 0.5):
+        self.weights, self.languages, self.temper = np.ascontiguousarray(weights), languages, temper  # buckets x languages
 
     @staticmethod
     def grams(text: str) -> np.ndarray:
@@ -290,17 +373,47 @@ class LanguageModel:
 
     @classmethod
     def train(cls, rows: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES) -> LanguageModel:
-        counts = np.zeros((len(languages), BUCKETS))
-        for text, lang in rows:
-            if lang in languages:
-                np.add.at(counts[languages.index(lang)], cls.grams(text), 1.0)
-        weights = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * BUCKETS))
-        return cls(weights.astype(np.float32), languages)
+        """Fit on rows of text and language; a fifth of them is kept back to fit the temper of the posteriors."""
+        known = [(t, languages.index(lang)) for t, lang in rows if lang in languages]
+        counts = np.zeros((BUCKETS, len(languages)))
+        for k, (text, lang) in enumerate(known):
+            if k % 5 or len(known) < 50:
+                np.add.at(counts[:, lang], cls.grams(text), 1.0)
+        weights = np.log((counts + 0.1) / (counts.sum(axis=0, keepdims=True) + 0.1 * BUCKETS))
+        model = cls(weights.astype(np.float32), languages)
+        held = [(w, lang) for k, (text, lang) in enumerate(known) if k % 5 == 0 for w in cls.snippets(text)][:2_000] if len(known) >= 50 else []
+        if held:
+            held = [(s, lang) for t, lang in held if (s := model.scores(t)) is not None]
+            scores, right = np.array([s for s, _ in held], dtype=float), np.array([lang for _, lang in held])
+            # Some labels are wrong; the snippets that disagree clearly don't speak about the temper.
+            keep = scores.max(axis=1) - scores[np.arange(len(right)), right] < 12.0
+            scores, right = scores[keep], right[keep]
+            if len(right):
+                loss = lambda t: -np.mean(np.log(softmax(scores * t)[np.arange(len(right)), right] + 1e-12))
+                model.temper = float(min(np.geomspace(0.05, 1.0, 25), key=loss))
+        return model
+
+    @staticmethod
+    def snippets(text: str) -> list[str]:
+        """Runs of six words from the start and the middle of a text."""
+        words = text.split()
+        return [" ".join(words[a : a + 6]) for a in {0, len(words) // 2} if len(words) >= a + 6]
+
+    def scores(self, text: str) -> np.ndarray | None:
+        """Log likelihoods by language, for the words of the text without code and formulas; null if it has none."""
+        prose = _FORMULA.sub(" ", _CODE.sub(" ", text)) if "$" in text or "\\" in text or "`" in text else text
+        grams = self.grams(prose)
+        return self.weights[grams].sum(axis=0) if len(grams) > 5 else None
+
+    def posterior(self, text: str) -> np.ndarray | None:
+        """Probabilities of the languages; null for a text without words."""
+        scores = self.scores(text)
+        return None if scores is None else softmax(scores.astype(float) * self.temper)
 
-    def posterior(self, text: str) -> np.ndarray:
-        """Log scores by language, for the words of the text without code and formulas."""
-        prose = _FORMULA.sub(" ", _CODE.sub(" ", text))
-        return self.weights[:, self.grams(prose)].sum(axis=1).astype(float) / 2.0
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
 
 
 def asked_for(question: str) -> str | None:
@@ -309,19 +422,15 @@ def asked_for(question: str) -> str | None:
     return _NAME_LANGUAGE.get((m[1] or m[2]).casefold()) if m else None
 
 
-def wrong_language(question: str | None, answer: str, model: LanguageModel, margin: float = 15.0) -> bool:
-    """The answer's language is another than the question's, both by a margin, and none that was asked for."""
+def wrong_language(question: str | None, answer: str, model: LanguageModel) -> bool:
+    """By their posteriors, question and answer are hardly in one language, and the answer's is none that was asked for.
+    A brief answer whose language can't be told has a posterior that leaves room for the question's."""
     if not question:
         return False
-    prose = _FORMULA.sub(" ", _CODE.sub(" ", answer))
-    if len([w for w in _words(prose) if len(w) > 1 and not w.isdigit()]) < 4:
-        return False
-    wanted = asked_for(question)
-    q, a = model.posterior(_REQUEST.sub(" ", question)), model.posterior(answer)
-    lq, la = int(q.argmax()), int(a.argmax())
-    if lq == la or wanted == LANGUAGES[la]:
+    a = model.posterior(answer)
+    if a is None or (q := model.posterior(_REQUEST.sub(" ", question))) is None:
         return False
-    return a[la] - a[lq] > margin and q[lq] - q[la] > margin / 2
+    return float(a @ q) < SAME_LANGUAGE and asked_for(question) != LANGUAGES[int(a.argmax())]
 
 
 def defect(question: str | None, answer: str | None, ends: EndModel | OpenEnds, languages: LanguageModel) -> str | None:
@@ -341,45 +450,60 @@ def defect(question: str | None, answer: str | None, ends: EndModel | OpenEnds,
     return None
 
 
-def end_counts(answers: DataFrame) -> DataFrame:
-    """``gram, total, ends``: how often each n-gram is in the answers, and at the end of those that end well."""
+_ASKED = "array<struct<g:string,t:bigint,e:bigint>>"
+
+
+def asked_bits(asked: DataFrame) -> np.ndarray:
+    """Bits of the slots of all n-grams that ends are asked by. Set bits are joined by the cluster; a bounded number of
+    words, of 64 bits each, comes to the driver. A filter that is full lets everything be counted."""
+    slot = F.col("g").bitwiseAND(F.lit(SLOTS - 1))
+    grams = asked.select(F.explode(F.from_json("asked", _ASKED)).alias("x")).select(F.col("x.g").cast("bigint").alias("g"))
+    rows = grams.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    words = np.zeros(SLOTS // 64, dtype=np.int64)
+    for r in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        words[r["word"]] = r["bits"]
+    return words.view(np.uint8)
+
+
+def end_counts(answers: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """``gram, total, ends``: how often each n-gram (of those that are asked for, if given) is in the answers, and at the
+    end of those that end well."""
+    held = answers.sparkSession.sparkContext.broadcast(None if asked is None else asked_bits(asked))
 
     def run(batches):
-        at_end, anywhere = Counter(), Counter()
+        total, ends = Counter(), Counter()
 
         def handed_on():
-            grams = list(anywhere.keys() | at_end.keys())
-            out = pa.RecordBatch.from_arrays([pa.array(grams, type=pa.string()), pa.array([anywhere[g] for g in grams], type=pa.int64()), pa.array([at_end[g] for g in grams], type=pa.int64())], names=["gram", "total", "ends"])
-            at_end.clear(), anywhere.clear()
+            grams = list(total)
+            out = pa.RecordBatch.from_arrays([pa.array(grams, type=pa.int64()), pa.array([total[g] for g in grams], type=pa.int64()), pa.array([ends[g] for g in grams], type=pa.int64())], names=["gram", "total", "ends"])
+            total.clear(), ends.clear()
             return out
 
         for batch in batches:
-            for a in batch.column(0).to_pylist():
-                if (t := counted_text(a)) is not None:
-                    EndModel.count([t], at_end, anywhere)
-                if len(anywhere) > HELD_GRAMS:
-                    yield handed_on()
+            texts = [t for a in batch.column(0).to_pylist() if (t := counted_text(a)) is not None]
+            if not texts:
+                continue
+            grams, n, e = EndModel.count(texts, held.value)
+            total.update(dict(zip(grams.tolist(), n.tolist())))
+            ends.update(dict(zip(grams[e > 0].tolist(), e[e > 0].tolist())))
+            if len(total) > HELD_GRAMS:
+                yield handed_on()
         yield handed_on()
 
-    counted = answers.mapInArrow(run, "gram string, total bigint, ends bigint")
+    counted = answers.mapInArrow(run, "gram bigint, total bigint, ends bigint")
     return counted.groupBy("gram").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
 
 
 def unlikely_ends(asked: DataFrame, counts: DataFrame) -> DataFrame:
-    """``asked, unlikely`` of ends: JSON lists of n-grams, each with what the judged answer adds to its two counts."""
-    grams = asked.select("asked", F.explode(F.from_json("asked", "array<struct<g:string,t:bigint,e:bigint>>")).alias("x")).select("asked", F.col("x.g").alias("gram"), F.col("x.t").alias("t"), F.col("x.e").alias("e"))
-    less = F.struct("gram", F.greatest(F.lit(0), F.coalesce("total", F.lit(0)) - F.col("t")).alias("total"), F.greatest(F.lit(0), F.coalesce("ends", F.lit(0)) - F.col("e")).alias("ends"))
-    found = grams.distinct().join(counts, "gram", "left").groupBy("asked").agg(F.collect_list(less).alias("counts"))
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for asked, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                model = EndModel({x["gram"]: x["ends"] for x in entries}, {x["gram"]: x["total"] for x in entries})
-                out.append(model.of_grams([x["g"] for x in json.loads(asked)]) < LEAST)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.bool_())], names=["asked", "unlikely"])
-
-    return found.mapInArrow(run, "asked string, unlikely boolean")
+    """``asked, unlikely`` of ends: JSON lists of n-grams, the shortest first, each with what the judged answer adds to its
+    two counts."""
+    grams = asked.select("asked", F.posexplode(F.from_json("asked", _ASKED)).alias("n", "x")).select("asked", "n", F.col("x.g").alias("gram"), F.col("x.t").alias("t"), F.col("x.e").alias("e"))
+    known = counts.select(F.col("gram").cast("string").alias("gram"), "total", "ends")
+    less = lambda c, own: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)) - F.col(own)).alias(c)
+    # Six n-grams at most.
+    found = grams.join(known, "gram", "left").groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("n", less("total", "t"), less("ends", "e")))).alias("c"))
+    step = lambda p, x: (F.least(x["ends"], x["total"]) + 3.0 * p) / (x["total"] + 3.0)
+    return found.select("asked", (F.aggregate("c", F.lit(0.02).cast("double"), step) < LEAST).alias("unlikely"))
 
 
 def find_defects(pairs: DataFrame, labelled: DataFrame, key: str = "ask_id", question: str = "question", answer: str = "answer", rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -390,13 +514,13 @@ def find_defects(pairs: DataFrame, labelled: DataFrame, key: str = "ask_id", que
     """
     source = pairs.select(F.col(key).alias("_k"), F.col(question).alias("_q"), F.col(answer).alias("_a"))
     lang = F.lower(F.trim("lang"))
-    sample = sample_rows(labelled.where(lang.isin(*LANGUAGES) & F.col("text").isNotNull()).select("text", lang.alias("lang")), "text", rows // 2)
-    model = LanguageModel.train([(r["text"], r["lang"]) for r in sample.collect()])
-    held = pairs.sparkSession.sparkContext.broadcast(model.weights)
+    sample = sample_rows(labelled, labelled.where(lang.isin(*LANGUAGES) & F.col("text").isNotNull()).select("text", lang.alias("lang")), "text", rows)
+    model = LanguageModel.train(sorted((r["text"], r["lang"]) for r in sample.collect()))
+    held = pairs.sparkSession.sparkContext.broadcast((model.weights, LANGUAGES, model.temper))
     kind = source.schema["_k"].dataType.simpleString()
 
     def run(batches):
-        language_model = LanguageModel(held.value)
+        language_model = LanguageModel(*held.value)
 
         @lru_cache(maxsize=20_000)
         def judge(q, a):
@@ -405,14 +529,16 @@ def find_defects(pairs: DataFrame, labelled: DataFrame, key: str = "ask_id", que
             if ends.asked is None:
                 return found, None
             own = EndModel.train([t] if (t := counted_text(a)) is not None else [])
-            return found, json.dumps([{"g": g, "t": own.anywhere.get(g, 0), "e": own.at_end.get(g, 0)} for g in EndModel.grams(ends.asked)])
+            return found, json.dumps([{"g": str(g), "t": own.anywhere.get(g, 0), "e": own.at_end.get(g, 0)} for g in EndModel.grams(ends.asked)])
 
         for batch in batches:
             found = [judge(q, a) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], type=pa.string()), pa.array([x for _, x in found], type=pa.string())], names=["_k", "defect", "asked"])
 
     found = materialize(source.mapInArrow(run, f"_k {kind}, defect string, asked string").where("defect IS NOT NULL OR asked IS NOT NULL").dropDuplicates())
-    unlikely = unlikely_ends(found.select("asked").where("asked IS NOT NULL").distinct(), end_counts(source.where(F.col("_a").isNotNull()).select("_q", "_a").dropDuplicates().select("_a")))
-    judged = found.where("asked IS NOT NULL").join(unlikely, "asked").select("_k", F.when(F.col("unlikely"), F.lit("truncated")).otherwise(F.col("defect")).alias("defect"))
+    asked = found.where("asked IS NOT NULL")
+    distinct = source.where(F.col("_a").isNotNull()).dropDuplicates(["_q", "_a"]).select("_a")
+    unlikely = unlikely_ends(asked.select("asked").distinct(), end_counts(distinct, asked))
+    judged = asked.join(unlikely, "asked").select("_k", F.when(F.col("unlikely"), F.lit("truncated")).otherwise(F.col("defect")).alias("defect"))
     out = found.where("asked IS NULL").select("_k", "defect").unionByName(judged)
     return out.where("defect IS NOT NULL").dropDuplicates().withColumnRenamed("_k", key)
