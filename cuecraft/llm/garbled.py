@@ -6,8 +6,12 @@ The prediction holds only if the chain can be inverted: the word encodes in the
 strictly in the right one, and the classifier takes the result for sound text, more so than what it was. Chains that
 lost characters cannot be inverted; there a wide margin of the classifier over a passage is asked for.
 
-Training words of the classifier come from a bounded sample of the corpus (``TRAIN_ROWS`` rows); every row is then
-classified whole. The counts that a word and what it was before are compared by are those of all distinct texts.
+Chains are tried in the order of the classifier's margin. Counts of words are a check: the first chain that gives words
+of the corpus is taken, and only if none does the first of all; a word that is frequent as it is, more so than what it
+would have been, stays. Counts are those of all distinct texts that are not plain ASCII. Training words come from a
+bounded sample of the corpus (``TRAIN_ROWS`` rows, ``TRAIN_WORDS`` words).
+
+Every text is cut into words once; each distinct word that a chain could speak for is judged once, wherever it stands.
 """
 
 from __future__ import annotations
@@ -23,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuecraft.llm.sampling import sample_rows
+from cuecraft.operators.joins import lookup_join
 from cuecraft.session import materialize
 
 #: Rows at most whose words train the classifier, and words at most that are garbled for it.
 TRAIN_ROWS, TRAIN_WORDS = 6_000, 4_000
 #: Words of the sample at most that the training looks at.
 LEXICON_WORDS = 50_000
+#: Words that a task counts before it hands them on.
+HELD_WORDS = 500_000
 BUCKETS = 1 << 14
 SOUND = "sound"
 REPLACEMENT = "�"
@@ -75,6 +82,7 @@ _EDGE = "\"'()[]{},;:!?.<>*#-_/|=~"
 _SPACES = re.compile(r"[\s\xa0]+")
 #: A no-break space after a plain character, or after a letter that does not begin a garbled sequence.
 _JOINT = re.compile(r"(?<=[\x21-\x7e])\xa0|(?<=[\xdf-\xff])\xa0(?=[A-Za-z(])")
+_NO_TEXT = re.compile("[\x7f-\x9f\ue000-\uf8ff]")
 _LATIN, _OTHER_ALPHABET = re.compile(r"[A-Za-zÀ-ɏ]"), re.compile(r"[Ͱ-࿿一-鿿]")
 _HIGH_LATIN, _IDEOGRAPH, _RUN = re.compile(r"[\x80-ɏ]"), re.compile(r"[⺀-\uffdc]"), re.compile(r"[⺀-\uffdc]+|[^⺀-\uffdc]+")
 _PIECE = re.compile(r"[^。！？\n]*[。！？]?")
@@ -159,6 +167,22 @@ def features(word: str) -> np.ndarray:
     return pairs * 40_503 % 65_521 % BUCKETS
 
 
+def _counts(words: list[tuple[str, int]]) -> np.ndarray:
+    """Counts of the buckets over words with weights; the same as adding up ``features`` of each."""
+    counts = np.zeros(BUCKETS)
+    for plain in (False, True):
+        part = [(w.encode("utf-8", "surrogatepass"), n) for w, n in words if w.isascii() == plain]
+        if not part:
+            continue
+        data = np.frombuffer(b" " + b" ".join(w for w, _ in part) + b" ", dtype=np.uint8).astype(np.int64)
+        left, right = data[:-1], data[1:]
+        weights = np.repeat([n for _, n in part], [len(w) + 1 for w, _ in part])
+        buckets = (left * 256 + right) * 40_503 % 65_521 % BUCKETS
+        keep = slice(None) if plain else (left > 127) | (right > 127)
+        counts += np.bincount(buckets[keep], weights=weights[keep], minlength=BUCKETS)
+    return counts
+
+
 class Classifier:
     """Log likelihoods of the buckets by class, class 0 being sound text, and the counts of words by texts.
 
@@ -168,6 +192,7 @@ class Classifier:
 
     def __init__(self, weights: np.ndarray, lexicon: dict[str, int], unit: float = 1.0, own: int = 0):
         self.weights = weights  # buckets x classes, log
+        self.sound = np.ascontiguousarray(weights[:, 0])
         self.lexicon, self.unit, self.own = lexicon, unit, own
         self.known = lru_cache(maxsize=100_000)(self.judge)
 
@@ -177,19 +202,9 @@ class Classifier:
         model = None
         clean = [(w, n) for w, n in words.most_common() if not self_evident(w)]
         for size in (most // 4, most):
-            counts = np.zeros((len(NAMES), BUCKETS))
-            lexicon: dict[str, int] = {}
-            for rank, (word, n) in enumerate(clean):
-                if model is not None and model.judge(word)[0] != SOUND:
-                    continue
-                lexicon[word] = n
-                if rank >= size:
-                    continue
-                n = min(n, 50)
-                np.add.at(counts[0], features(word), n)
-                for k, chain in enumerate(CHAINS, 1):
-                    if (bad := garble(word, chain)) is not None:
-                        np.add.at(counts[k], features(bad), n)
+            lexicon = {w: n for w, n in clean if model is None or model.judge(w)[0] == SOUND}
+            taught = [(w, min(n, 50)) for w, n in clean[:size] if w in lexicon]
+            counts = np.stack([_counts(taught), *(_counts([(bad, n) for w, n in taught if (bad := garble(w, chain)) is not None]) for chain in CHAINS)])
             totals = counts.sum(axis=1, keepdims=True)
             weights = np.log((counts + smoothing) / (totals + smoothing * BUCKETS))
             weights[totals[:, 0] == 0] = -30.0
@@ -200,34 +215,68 @@ class Classifier:
         f = features(word)
         return sum(self.weights[f[i : i + _AT_ONCE]].sum(axis=0) for i in range(0, len(f), _AT_ONCE))
 
+    def scores_of(self, words: list[str]) -> np.ndarray:
+        """The same for many words at once: words by classes."""
+        out = np.zeros((len(words), self.weights.shape[1]), dtype=np.float32)
+        coded = [w.encode("utf-8", "surrogatepass") for w in words]
+        sizes = np.array([len(w) + 1 for w in coded])
+        ends = np.cumsum(sizes)
+        low = 0
+        while low < len(words):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + _AT_ONCE)))
+            if high == low + 1:
+                out[low] = self.scores(words[low])
+            else:
+                data = np.frombuffer(b" " + b" ".join(coded[low:high]) + b" ", dtype=np.uint8).astype(np.int64)
+                left, right = data[:-1], data[1:]
+                begin = np.concatenate([[0], np.cumsum(sizes[low:high])[:-1]])
+                beyond = (left > 127) | (right > 127)
+                plain = np.maximum.reduceat(data[:-1], begin) < 128
+                found = self.weights[(left * 256 + right) * 40_503 % 65_521 % BUCKETS]
+                found[~(beyond | np.repeat(plain, sizes[low:high]))] = 0
+                out[low:high] = np.add.reduceat(found, begin, axis=0)
+            low = high
+        return out
+
+    def suspicious(self, words: list[str]) -> list[str]:
+        """Those of the words that ``lookups`` may have something for; all others are sound whatever the counts are."""
+        cores = [_core(unescape(w)) for w in words]
+        at = [i for i, c in enumerate(cores) if c]
+        scores = self.scores_of([cores[i] for i in at])
+        close = scores[:, 1:].max(axis=1) - scores[:, 0] > -3.0
+        return [words[i] for i, near in zip(at, close.tolist()) if near or _lost(cores[i])]
+
     def _likeness(self, word: str) -> float:
         """Mean log likelihood of the word as sound text."""
-        return float(self.weights[features(word), 0].mean())
+        return float(self.sound[features(word)].mean())
 
     def seen(self, text: str) -> int:
         """The least count of the parts of the text that are not plain ASCII."""
         return min((self.lexicon.get(w, 0) for w in _lookups(text)), default=0)
 
-    def _candidates(self, core: str) -> tuple[list[tuple[int, str, bool, float, float]], int, float]:
-        """Chains that some counts could speak for, with what the text was before, whether decoding it is evidence,
-        margin and gain; the likeliest chain and its margin."""
+    def _candidates(self, core: str) -> tuple[list[tuple[int, str, bool, float]], int, float]:
+        """Chains that some counts could speak for, with what the text was before, whether decoding it is evidence, and
+        the margin; the likeliest chain and its margin."""
         score = self.scores(core)
-        sound, likeness = float(score[0]), self._likeness(core)
-        order = np.argsort(-score[1:])[:16] + 1
+        sound = float(score[0])
+        margins = score[1:] - sound
+        first = int(margins.argmax()) + 1
         out = []
-        for k in order:
+        for k in np.flatnonzero(margins > -2.0) + 1:
             chain = CHAINS[k - 1]
+            if chain[0][0] != "utf-8" and margins[k - 1] <= 0.0:
+                continue
             before = invert(core, chain)
             if before is None:
                 continue
             # Strict decoding of several bytes is evidence of its own; for single bytes the words must speak.
             evident = chain[0][0] in _MULTI
-            if before.isascii() and chain[0][0] != "utf-7" or any("\x7f" <= c <= "\x9f" or "\ue000" <= c <= "\uf8ff" for c in before):
+            if before.isascii() and chain[0][0] != "utf-7" or _NO_TEXT.search(before):
                 continue
             margin = float(score[k]) - sound
-            if margin > -2.0 if evident else margin > 0.0 and not _mixes_scripts(before):
-                out.append((int(k), before, evident, margin, self._likeness(before) - likeness))
-        return out, int(order[0]), float(score[order[0]]) - sound
+            if margin > -2.0 if evident else margin > 1.0 and not _mixes_scripts(before):
+                out.append((int(k), before, evident, margin))
+        return out, first, float(margins[first - 1])
 
     def lookups(self, word: str, depth: int = 0) -> set[str]:
         """The words whose counts ``judge`` may ask for; none if it finds the word sound whatever they are."""
@@ -259,17 +308,23 @@ class Classifier:
         as_is = max(0, self.seen(core) - (self.own if depth == 0 and not note else 0))
         candidates, k, lead = self._candidates(core)
         best: tuple | None = None
-        for c, before, evident, margin, gain in candidates:
+        likeness = self._likeness(core) if candidates else 0.0
+        for c, before, evident, margin in candidates:
+            chain = CHAINS[c - 1]
             count = self.seen(before)
             if as_is > max(2 * self.unit, count) or len(core) == 1 and as_is > (2 if core.isalpha() else 1) * self.unit:
                 continue
             if evident:
-                good = gain > 0.0 or count > as_is
+                # Spaces and punctuation gain nothing in likeness; strict decoding with a margin speaks for them.
+                good = count > as_is or self._likeness(before) > likeness or margin > 10.0 and not any(x > "\x7f" and x.isalnum() for x in before)
+                # Pairs of bytes decode in the other encodings of several bytes by chance.
+                good = good and (chain[0][0] in ("utf-8", "utf-7") or margin > 8.0)
             elif count > max(self.unit, 2 * as_is):
-                good = len(before) > 1
+                # A letter by itself that was a frequent dash or quotation mark.
+                good = len(before) > 1 or core.isalpha() and not before.isalnum() and count > 20 * self.unit
             else:
-                good = margin > 8.0 and gain > 0.8 and sum(x > "\x7f" and x.isalpha() for x in before) >= 4
-            rank = (min(count / self.unit, 1.0), evident, margin)
+                good = margin > 8.0 and self._likeness(before) - likeness > 0.8 and sum(x > "\x7f" and x.isalpha() for x in before) >= 4
+            rank = (count >= self.unit, evident, margin)
             if good and (best is None or rank > best[0]):
                 best = (rank, c, before, max(margin, 6.0) if evident else margin)
         if best is not None:
@@ -285,21 +340,16 @@ class Classifier:
             return note + NAMES[k], None, max(lead, 6.0) if lost else lead
         return SOUND, None, lead
 
-    def passages(self, text: str) -> list[tuple[int, int, str, str | None, float]]:
-        """Garbled words of the text: start, end, chain, restored form or null, margin."""
+    def passages(self, text: str, verdict=None) -> list[tuple[int, int, str, str | None, float]]:
+        """Garbled words of the text: start, end, chain, restored form or null, margin. ``verdict`` gives what a word was
+        judged as; by default it is judged here."""
+        verdict = verdict or self.known
         out = []
-        for m in _WORD.finditer(text):
-            word = m[0]
-            for a, b in _parts(word):
-                if b - a <= _WIDEST:
-                    found = [(a, b, *self.known(word[a:b]))]
-                else:
-                    found = [(a, b, *self.judge(word[a:b]))]
-                    if found[0][3] is None:
-                        found = [(a + x, a + y, *self.judge(word[a + x : a + y])) for x, y in self.stretches(word[a:b])]
-                for x, y, chain, before, margin in found:
-                    if chain != SOUND:
-                        out.append((m.start() + x, m.start() + y, chain, before, margin))
+        for a, b in units(text):
+            found = [(a, b, *verdict(text[a:b]))]
+            if b - a > _WIDEST and found[0][3] is None:
+                found = [(a + x, a + y, *verdict(text[a + x : a + y])) for x, y in self.stretches(text[a:b])]
+            out += [(x, y, chain, before, margin) for x, y, chain, before, margin in found if chain != SOUND]
         return out
 
     def stretches(self, run: str) -> list[tuple[int, int]]:
@@ -366,19 +416,19 @@ def self_evident(word: str) -> bool:
     return REPLACEMENT in word or any((t := invert(word, chain)) is not None and not t.isascii() for chain in CHAINS[:8])
 
 
+def units(text: str) -> list[tuple[int, int]]:
+    """Start and end of every word, or part of a long one, that is judged by itself."""
+    return [(m.start() + a, m.start() + b) for m in _WORD.finditer(text) for a, b in _parts(m[0])]
+
+
 def _words(text: str) -> list[str]:
-    out = []
-    for m in _WORD.finditer(text):
-        word = m[0]
-        for a, b in _parts(word):
-            out += _lookups(word[a:b])
-    return out
+    return [w for a, b in units(text) for w in _lookups(text[a:b])]
 
 
 def training_words(df: DataFrame, text: str, rows: int = TRAIN_ROWS) -> Counter:
     """Words that are not plain ASCII with the rows that hold them, of at most ``rows`` rows chosen by the hash of their
     text; the ``LEXICON_WORDS`` most frequent ones."""
-    sample = sample_rows(df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")), "t", rows)
+    sample = sample_rows(df, df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")), "t", rows)
     counted = _counted(sample).orderBy(F.desc("n"), "w").limit(LEXICON_WORDS)
     return Counter({r["w"]: r["n"] for r in counted.collect()})
 
@@ -394,59 +444,97 @@ def _counted(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(split, "w string").groupBy("w").agg(F.count("*").alias("n"))
 
 
-def _with_counts(needs: DataFrame, key: str, counts: DataFrame) -> DataFrame:
-    """``key, counts``: the counts of the words ``w`` of each key, 0 of words without one."""
-    entry = F.struct("w", F.coalesce("n", F.lit(0)).alias("n"))
-    return needs.join(counts, "w", "left").groupBy(key).agg(F.collect_list(entry).alias("counts"))
+def cut_texts(texts: DataFrame, held) -> DataFrame:
+    """``kind, _h, w, need, n`` of distinct texts ``_h, _t``:
 
+    ``word`` rows with how many texts of a task hold a word, ``part`` rows of every unit that a chain could speak for, by
+    text, ``word need`` and ``part need`` rows with the words whose counts decide on it, and the number of ``text``.
+    """
+    kinds = {"kind": pa.string(), "_h": pa.binary(), "w": pa.string(), "need": pa.string(), "n": pa.int64()}
 
-def _needs(df: DataFrame, key: str, text: str, held, whole: bool) -> DataFrame:
-    """``key, w``: the words whose counts are asked for when a text, or a single word, is judged."""
+    def rows(kind: str, size: int, **columns) -> pa.RecordBatch:
+        filled = {"kind": [kind] * size} | {c: columns.get(c, [None] * size) for c in ("_h", "w", "need", "n")}
+        return pa.RecordBatch.from_arrays([pa.array(filled[c], type=t) for c, t in kinds.items()], names=list(kinds))
 
     def run(batches):
-        classifier = Classifier(held.value[0], {})
-        known = lru_cache(maxsize=100_000)(classifier.lookups)
-
-        def ask(part):
-            if len(part) <= _WIDEST:
-                return known(part)
-            return classifier.lookups(part).union(*(classifier.lookups(part[a:b]) for a, b in classifier.stretches(part)))
+        classifier = Classifier(*held.value)
+        lookups = lru_cache(maxsize=100_000)(classifier.lookups)  # words are often parts, too
+        counts: Counter = Counter()
+        asked: dict[str, dict[str, bool]] = {"word": {}, "part": {}}
+        seen = 0
+
+        def needs(kind: str, words: list[str]):
+            """Rows of the words that are new to the task, and which of all can be garbled."""
+            known = asked[kind]
+            if len(known) > HELD_WORDS:
+                known.clear()
+            found = {w: lookups(w) for w in classifier.suspicious(new)} if (new := [w for w in words if w not in known]) else {}
+            known.update((w, bool(found.get(w))) for w in new)
+            pairs = [(w, x) for w, need in found.items() for x in need]
+            return rows(f"{kind} need", len(pairs), w=[w for w, _ in pairs], need=[x for _, x in pairs])
+
+        def handed_on():
+            words = list(counts)
+            out = [needs("word", words), rows("word", len(words), w=words, n=list(counts.values()))]
+            counts.clear()
+            return out
 
         for batch in batches:
-            keys, words = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = [m[0][a:b] for m in _WORD.finditer(t) for a, b in _parts(m[0])] if whole else [t]
-                found = set().union(*map(ask, parts))
-                keys += [k] * len(found)
-                words += found
-            yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.string()), pa.array(words, type=pa.string())], names=["_h", "w"])
+            in_text = []
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = {t[a:b] for a, b in units(t)}
+                counts.update({w for p in parts for w in _lookups(p)})
+                for p in [p for p in parts if len(p) > _WIDEST]:
+                    parts.update(p[a:b] for a, b in classifier.stretches(p))
+                in_text.append((h, parts))
+            seen += batch.num_rows
+            yield needs("part", list(set().union(*(parts for _, parts in in_text))))
+            found = [(h, p) for h, parts in in_text for p in parts if asked["part"].get(p)]
+            yield rows("part", len(found), _h=[h for h, _ in found], w=[p for _, p in found])
+            if len(counts) > HELD_WORDS:
+                yield from handed_on()
+        yield from handed_on()
+        yield rows("text", 1, n=[seen])
+
+    return texts.mapInArrow(run, "kind string, _h binary, w string, need string, n bigint")
+
+
+def judged(needs: DataFrame, counts: DataFrame, held) -> DataFrame:
+    """``w, chain, before, margin`` of the words that are garbled by the counts ``w, n`` of sound ones that they need."""
+
+    def judge(batches):
+        classifier = Classifier(*held.value)
+        for batch in batches:
+            out = []
+            for w, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                classifier.lexicon = {e["w"]: e["n"] for e in entries}
+                if (found := classifier.judge(w))[0] != SOUND:
+                    out.append((w, *found))
+            columns = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.float64()))], names=["w", "chain", "before", "margin"])
 
-    return df.select(F.col(key).alias("_h"), text).mapInArrow(run, "_h string, w string")
+    entry = F.struct("w", F.coalesce("n", F.lit(0)).alias("n"))
+    asked = needs.select(F.col("w").alias("word"), F.col("need").alias("w")).distinct().join(counts, "w", "left").groupBy("word").agg(F.collect_list(entry).alias("counts"))  # the needs of one word
+    return asked.mapInArrow(judge, "w string, chain string, before string, margin double")
 
 
-def word_counts(texts: DataFrame, held) -> DataFrame:
-    """``w, n``: in how many of the texts each sound word is. Words that give themselves away as garbled, or that the
-    classifier takes for it by the counts of all others, are left out."""
+def sound_counts(cut: DataFrame, held) -> DataFrame:
+    """``w, n``: in how many texts each word is, without words that give themselves away as garbled, or that the
+    classifier takes for it by the counts of all others."""
 
     def sound(batches):
         for batch in batches:
             keep = [not self_evident(w) for w in batch.column(0).to_pylist()]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
-    counts = materialize(_counted(texts).mapInArrow(sound, "w string, n bigint"))
+    counts = materialize(cut.where("kind = 'word'").groupBy("w").agg(F.sum("n").alias("n")).mapInArrow(sound, "w string, n bigint"))
+    return materialize(counts.join(judged(cut.where("kind = 'word need'"), counts, held), "w", "left_anti"))
 
-    def bad(batches):
-        classifier = Classifier(*held.value)
-        for batch in batches:
-            found = []
-            for w, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                classifier.lexicon = {e["w"]: e["n"] for e in entries}
-                if classifier.judge(w)[0] != SOUND:
-                    found.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.string())], names=["w"])
 
-    asked = _with_counts(_needs(counts, "w", "w", held, False), "_h", counts)
-    return counts.join(asked.mapInArrow(bad, "w string"), "w", "left_anti")
+def word_counts(texts: DataFrame, held) -> DataFrame:
+    """``w, n``: in how many of the texts each sound word is."""
+    cut = materialize(cut_texts(texts.select(F.lit(b"").alias("_h"), texts.columns[0]), held))
+    return sound_counts(cut, held)
 
 
 def find_garbled(df: DataFrame, key: str, text: str, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -457,39 +545,43 @@ def find_garbled(df: DataFrame, key: str, text: str, rows: int = TRAIN_ROWS) ->
     are not in the result; rows repeated in key and text come once; an empty table gives an empty result.
     """
     source = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.col("_t").rlike(r"[^\x00-\x7f]|&#?\w{2,8};|\+[A-Za-z0-9/]{2,}-"))
-    words = training_words(df.select(F.col(text).alias("_t")), "_t", rows)
-    model = Classifier.train(words)
-    there = df.agg(F.countDistinct(F.xxhash64(text)).alias("n")).first()["n"] if words else 0
-    held = df.sparkSession.sparkContext.broadcast((model.weights, {}, max(1.0, there / TRAIN_ROWS), 1))
-    kind = source.schema["_k"].dataType.simpleString()
-    source = source.withColumn("_h", F.sha2("_t", 256))
-    texts = source.select("_t", "_h").dropDuplicates(["_h"])
-    counted = _with_counts(_needs(texts, "_h", "_t", held, True), "_h", word_counts(texts.select("_t"), held))
+    source = source.withColumn("_h", F.unhex(F.md5("_t")))
+    context = df.sparkSession.sparkContext
+    weights = Classifier.train(training_words(df.select(F.col(text).alias("_t")), "_t", rows)).weights
+    cut = materialize(cut_texts(source.select("_h", "_t").dropDuplicates(["_h"]), context.broadcast((weights, {}))))
+    there = cut.where("kind = 'text'").agg(F.sum("n")).first()[0] or 0
+    held = context.broadcast((weights, {}, max(1.0, there / TRAIN_ROWS), 1))
+    verdicts = materialize(judged(cut.where("kind = 'part need'"), sound_counts(cut, held), held))
+    parts = cut.where("kind = 'part'").select("_h", "w")
+    hit = lookup_join(parts, verdicts, "w", "_h").where("chain IS NOT NULL")
+    # The garbled words of one text, which is held whole anyway.
+    found = hit.groupBy("_h").agg(F.collect_list(F.struct("w", "chain", "before", "margin")).alias("found"))
 
     def run(batches):
         classifier = Classifier(*held.value)
         for batch in batches:
-            keys, counts, chains, texts, whole = [], [], [], [], []
+            keys, numbers, chains, texts, whole = [], [], [], [], []
             for k, t, entries in zip(*(c.to_pylist() for c in batch.columns)):
-                classifier.lexicon = {e["w"]: e["n"] for e in entries}
-                found = classifier.passages(t)
-                if not found or not convincing(found):
+                known = {e["w"]: (e["chain"], e["before"], e["margin"]) for e in entries}
+                passages = classifier.passages(t, lambda w: known.get(w, (SOUND, None, 0.0)))
+                if not passages or not convincing(passages):
                     continue
-                at, parts = 0, []
-                for a, b, _, before, _ in found:
-                    parts += [t[at:a], t[a:b] if before is None else before]
+                at, out = 0, []
+                for a, b, _, before, _ in passages:
+                    out += [t[at:a], t[a:b] if before is None else before]
                     at = b
                 keys.append(k)
-                counts.append(len(found))
-                chains.append(sorted({c for _, _, c, _, _ in found}))
-                texts.append("".join([*parts, t[at:]]))
-                whole.append(all(before is not None for _, _, _, before, _ in found))
+                numbers.append(len(passages))
+                chains.append(sorted({c for _, _, c, _, _ in passages}))
+                texts.append("".join([*out, t[at:]]))
+                whole.append(all(before is not None for _, _, _, before, _ in passages))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, type=batch.schema.field(0).type), pa.array(counts, type=pa.int32()), pa.array(chains, type=pa.list_(pa.string())), pa.array(texts, type=pa.string()), pa.array(whole, type=pa.bool_())],
+                [pa.array(keys, type=batch.schema.field(0).type), pa.array(numbers, type=pa.int32()), pa.array(chains, type=pa.list_(pa.string())), pa.array(texts, type=pa.string()), pa.array(whole, type=pa.bool_())],
                 names=["_k", "passages", "chains", "restored_text", "whole"],
             )
 
-    out = source.join(counted, "_h").select("_k", "_t", "counts").mapInArrow(run, f"_k {kind}, passages int, chains array<string>, restored_text string, whole boolean")
+    kind = source.schema["_k"].dataType.simpleString()
+    out = source.join(found, "_h").select("_k", "_t", "found").mapInArrow(run, f"_k {kind}, passages int, chains array<string>, restored_text string, whole boolean")
     return out.dropDuplicates().withColumnRenamed("_k", key)
 
 
