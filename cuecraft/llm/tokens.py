@@ -8,7 +8,6 @@ character, and then both halves name it.
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 from collections.abc import Callable
@@ -42,26 +41,27 @@ def load(path: str):
     return tokenizer
 
 
-def encode_texts(texts: list[str | None], path: str, take: Callable) -> list:
-    """What ``take`` makes of the encoding of each text; null counts as empty.
+def encode_texts(texts: list[str | None], path: str, take: Callable, offsets: bool = False) -> list:
+    """What ``take`` makes of the encoding of each text; null counts as empty. Offsets are worked out only if asked for.
 
     Native calls get a bounded number of characters at once, and their encodings are let go after each.
     """
     tokenizer, out, part, size = load(path), [], [], 0
+    batch = tokenizer.encode_batch if offsets else getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
     for text in texts:
         part.append(text or "")
         size += len(part[-1])
         if size > _CHARS_AT_ONCE:
-            out += [take(x) for x in tokenizer.encode_batch(part, add_special_tokens=False)]
+            out += [take(x) for x in batch(part, add_special_tokens=False)]
             part, size = [], 0
-    return out + ([take(x) for x in tokenizer.encode_batch(part, add_special_tokens=False)] if part else [])
+    return out + ([take(x) for x in batch(part, add_special_tokens=False)] if part else [])
 
 
 def _int_list(lists: list[list[int]]) -> pa.ListArray:
     offsets = np.zeros(len(lists) + 1, dtype=np.int32)
     np.cumsum([len(x) for x in lists], out=offsets[1:])
-    flat = np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int32, count=int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    parts = [np.asarray(x, dtype=np.int32) for x in lists]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)))
 
 
 def encode(df: DataFrame, key: str, text: str, path: str | None = None, spans: bool = False) -> DataFrame:
@@ -79,7 +79,7 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None, spans: b
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = [key, "ids"] + (["starts", "ends"] if spans else [])
-        found = encode_texts(batch.column(1).to_pylist(), path, parts)
+        found = encode_texts(batch.column(1).to_pylist(), path, parts, spans)
         columns = [batch.column(0), *(_int_list([x[i] for x in found]) for i in range(len(names) - 1))]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
