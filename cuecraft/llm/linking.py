@@ -1,10 +1,11 @@
 """Problem 3: free-entered values mapped to the entries of a reference list.
 
 A multi-pattern automaton over all canonical names and aliases finds mentions embedded in the normalised value; the
-longest of the non-overlapping matches wins. What it leaves goes to token-set similarity: every word of the value is
-assigned to the nearest word of the whole list's vocabulary, and the set of assigned words must be the set of words of
-an entry. A word nearer to another word of the list therefore never counts for an entry, and a value that has one word
-more or less than an entry names a narrower or broader concept and stays unmatched.
+longest of the non-overlapping matches wins, unless other words of the list stand beside it: those make another concept.
+Words around it that are in no entry don't count. What it leaves goes to token-set similarity: every word of the value
+is assigned to the nearest words of the whole list's vocabulary, and an entry is meant if its words are the assigned
+ones, each once (a similarity of 1). A word nearer to another word of the list therefore never counts for an entry, and a
+value that has one word of the list more or less than an entry names a narrower or broader concept and stays unmatched.
 """
 
 from __future__ import annotations
@@ -111,6 +112,14 @@ class Matcher:
             self.automaton.make_automaton()
         self.words = sorted(set(self.alias))
         self.longest = max(map(len, self.words), default=0)
+        # Entries by each of their words and the number of words.
+        self.holding: dict[tuple[str, int], set[tuple[str, ...]]] = defaultdict(set)
+        for key in self.by_words:
+            for word in key:
+                self.holding[word, len(key)].add(key)
+        self.by_size: dict[int, list[str]] = defaultdict(list)
+        for word in self.words:
+            self.by_size[len(word)].append(word)
         # Words by every string that comes of deleting up to two letters.
         self.deletions: dict[str, set[str]] = defaultdict(set)
         for word in self.words:
@@ -135,7 +144,7 @@ class Matcher:
         found: dict[str, int] = {}
         near = set().union(*(self.deletions.get(part, ()) for part in self._deleted(token))) if most else set()
         if not near and most > 2:
-            near = {w for w in self.words if abs(len(w) - len(token)) <= most}
+            near = {w for size in range(len(token) - most, len(token) + most + 1) for w in self.by_size.get(size, ())}
         for word in near:
             bound = min(most, allowed(max(len(token), len(word))))
             d = distance(token, word, bound)
@@ -187,18 +196,21 @@ class Matcher:
         return tuple(sorted(entities))
 
     def _sets(self, choices: list[tuple[str, ...]]) -> set[str]:
-        if not all(choices) or len(choices) > 6 or sum(len(c) > 1 for c in choices) > 3:
+        """The entities whose words are one of each of the choices; none if entries with other entities are, too."""
+        if not choices or not all(choices):
             return set()
-        found = [self.by_words[key] for words in itertools.islice(itertools.product(*choices), 400) if (key := tuple(sorted(words))) in self.by_words]
+        rarest = min(choices, key=lambda words: sum(len(self.holding.get((w, len(choices)), ())) for w in words))
+        keys = set().union(*(self.holding.get((w, len(choices)), ()) for w in rarest))
+        found = [self.by_words[key] for key in keys if _assigned(key, choices)]
         return found[0] if found and all(f == found[0] for f in found) else set()
 
     def _run_together(self, joined: str) -> set[str]:
         """The entry of two words that the value names without space between them, or with it at a wrong place."""
         best: tuple[int, set[str]] = (3, set())
         joined = _undigit(joined)
-        if len(joined) < 7 or len(joined) > 60:
-            return set()
-        for cut in range(3, len(joined) - 2):
+        # Both sides must be near to a word, so neither can be much longer than the longest.
+        most = self.longest + 3
+        for cut in range(max(3, len(joined) - most), min(len(joined) - 2, most + 1)) if len(joined) > 6 else ():
             d1, left = self.nearest(joined[:cut])
             if d1 >= best[0]:
                 continue
@@ -221,6 +233,22 @@ class Matcher:
         return entities[0]
 
 
+def _assigned(key: tuple[str, ...], choices: list[tuple[str, ...]]) -> bool:
+    """Whether each word of the key can be given to a choice of its own that has it (augmenting paths)."""
+    owner: dict[int, int] = {}
+
+    def place(k: int, tried: set[int]) -> bool:
+        for c, words in enumerate(choices):
+            if c not in tried and key[k] in words:
+                tried.add(c)
+                if c not in owner or place(owner[c], tried):
+                    owner[c] = k
+                    return True
+        return False
+
+    return all(place(k, set()) for k in range(len(key)))
+
+
 def forms_of(entities: DataFrame) -> list[tuple[str, str, str | None]]:
     """Names and aliases of the list, once each."""
     names = entities.select("name", "entity_id", "label")
