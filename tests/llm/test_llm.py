@@ -317,3 +317,97 @@ def test_an_end_counts_without_the_answer_itself(spark):
     asked = spark.createDataFrame([(__import__("json").dumps(own),), (__import__("json").dumps([own[0] | {"t": 0, "e": 0}]),)], "asked string")
     counts = spark.createDataFrame([("m", 2, 1)], "gram string, total bigint, ends bigint")
     assert sorted(r["unlikely"] for r in pairs.unlikely_ends(asked, counts).collect()) == [False, True]
+
+
+@pytest.mark.parametrize("text", [
+    "Keep this in mind. We continue now.", "The cat sat. It slept.", "We walk in the sun. It is warm.", "This is modern art. It is fine.", "Open the tab. Then close it.", "He wore a cap. It was red.",
+    "Wir brauchen es. Dann gehen wir.", "Er ist da. Wir gehen.", "De fles is vol. Daarna gaan we.",
+])
+def test_abbreviations_of_other_languages_are_words(text):
+    cut = text.index(". ") + 1
+    assert spans(text) == [(0, cut), (cut + 1, len(text))]
+
+
+@pytest.mark.parametrize("text", ["Wir sehen die Reihe inkl. Rand und den Kern.", "We met Gen. Brown and Dr. Smith in Jan. 2020.", "O valor está na pág. 5, cf. fig. 3."])
+def test_abbreviations_of_the_language_go_on(text):
+    assert spans(text) == [(0, len(text))]
+
+
+@pytest.mark.parametrize("text", ["Բարև։ Ինչպես ես։", "བོད་ཡིག། གཉིས་པ།", "ܫܠܡܐ܀ ܬܪܝܢ܀", "ߒ ߓߊ߹ ߞߋ߹", "यह है। वह है।"])
+def test_terminators_of_all_scripts(text):
+    assert len(spans(text)) == 2
+
+
+def test_units_do_not_depend_on_length():
+    quoted = 'He said: "' + "This is one. " * 400 + 'That was it," and left.'
+    assert spans(quoted + " Then more.") == [(0, len(quoted)), (len(quoted) + 1, len(quoted) + 11)]
+    heading = "# " + "very " * 60 + "long"
+    assert spans(heading + "\n\nText here.")[0] == (0, len(heading))
+    assert len(spans("x. " + "+-" * 600 + "\n\nText.")) == 3 and len(spans("-" * 900 + "\nText here.")) == 2
+    assert len(spans("(" * 20_000 + "a")) == 1 and len(spans('"a ' * 5_000)) == 1
+
+
+def test_long_questions_given_back_are_copies():
+    words = [f"word{i}" for i in range(300)]
+    changed = [w + "x" if i % 20 == 0 else w for i, w in enumerate(words)]
+    assert pairs.is_copy(" ".join(words) + "?", " ".join(changed))
+    assert not pairs.is_copy(" ".join(words) + "?", " ".join(reversed(changed)))
+    assert not pairs.is_copy(" ".join(words), " ".join(words[:200] + [f"other{i}" for i in range(100)]))
+
+
+def test_banded_alignment_is_the_whole_one():
+    def whole(a, q):
+        row = [0] * (len(q) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(q, 1):
+                last, row[j] = row[j], last + 1 if pairs._alike(x, y) else max(row[j], row[j - 1])
+        return bool(q) and 0.8 <= len(a) / len(q) <= 1.25 and row[-1] >= 0.85 * max(len(a), len(q))
+
+    rng = random.Random(3)
+    for _ in range(400):
+        q = [rng.choice("abcdefgh") * 4 for _ in range(rng.randrange(1, 30))]
+        a = [w for w in q if rng.random() > 0.08]
+        for _ in range(rng.randrange(0, 4)):
+            a.insert(rng.randrange(len(a) + 1), rng.choice("abcdefgh") * 4)
+        assert pairs._given_back(a, q) == whole(a, q), (a, q)
+
+
+def test_hashed_end_counts_are_those_of_strings():
+    from collections import Counter
+
+    texts = ["It is a norm.", "aaaa", "x", "日本 is 12.", "It is a norm"]
+    anywhere, at_end = Counter(), Counter()
+    for t in texts:
+        s = pairs.EndModel.shape(t)
+        for n in range(1, 7):
+            grams = [s[i : i + n] for i in range(len(s) - n + 1)]
+            anywhere.update(grams)
+            if grams and pairs.EndModel.ended(t, s):
+                at_end[grams[-1]] += 1
+    model = pairs.EndModel.train(texts)
+    assert sorted(model.anywhere.values()) == sorted(anywhere.values()) and sorted(model.at_end.values()) == sorted(at_end.values())
+    for t in texts:
+        s = pairs.EndModel.shape(t)
+        assert [model.anywhere[g] for g in pairs.EndModel.grams(t)] == [anywhere[s[-n:]] for n in range(1, min(6, len(s)) + 1)]
+
+
+def test_unknown_languages_are_less_sure():
+    arabic = "سنرى اليوم لماذا تكون هذه الدالة متصلة ومحدودة في كل فترة مغلقة. ثم نثبت أن المتتالية تتقارب."
+    model = langid.Identifier.train([(t * 2, lang) for lang, t in (PROSE | {"ar": arabic}).items()] * 3)
+    sure = lambda t: model.identify([t])[0][0]
+    ru, uk = sure(PROSE["ru"]), sure("Сьогодні ми розглянемо, чому ця функція є неперервною та обмеженою.")
+    ar, fa = sure(arabic), sure("امروز می‌خواهیم ببینیم که چرا این تابع پیوسته و کراندار است.")
+    assert (ru[0], ar[0]) == ("ru", "ar") and uk[3] < 0.7 * ru[3] and fa[3] < 0.7 * ar[3]
+
+
+def test_formulas_are_in_no_language():
+    model = langid.Identifier.train([(t * 2, lang) for lang, t in PROSE.items()] * 3)
+    found = model.identify([PROSE["de"] + " " + "y+" * 200 + "y", PROSE["en"] + " ((x1+x2+x3)^2) " + PROSE["en"]])
+    assert [[s[0] for s in x] for x in found] == [["de"], ["en"]]
+
+
+@pytest.mark.parametrize("bad, good", [("far.Â\xa0Well", "far.\xa0Well"), ("â€œso", "“so")])
+def test_garbled_spaces_and_marks(classifier, bad, good):
+    name, before, _ = classifier.judge(bad)
+    assert name != garbled.SOUND and before == good
