@@ -12,13 +12,16 @@ OFFSET_PATTERN = r"^\s*(?:(-?\d+) days?, )?(\d+):([0-5]\d):([0-5]\d)(?:[.,](\d{1
 
 
 def parse_offset(text: Column) -> Column:
-    """Microseconds of a rendered offset; null for null, ``None`` or any other text."""
-    part = lambda i: F.regexp_extract(text, OFFSET_PATTERN, i)
+    """Microseconds of a rendered offset; null for null, ``None`` or any other text. The pattern is matched once."""
     number = lambda c: c.try_cast("bigint")
-    days = F.when(part(1) == "", F.lit(0).cast("bigint")).otherwise(number(part(1)))
-    fraction = F.rpad(part(5), 6, "0").try_cast("bigint")
-    seconds = days * 86_400 + number(part(2)) * 3_600 + number(part(3)) * 60 + number(part(4))
-    return F.when(text.rlike(OFFSET_PATTERN), seconds * 1_000_000 + F.coalesce(fraction, F.lit(0)))
+
+    def value(p: Column) -> Column:
+        days = F.when(p[0] == "", F.lit(0).cast("bigint")).otherwise(number(p[0]))
+        seconds = days * 86_400 + number(p[1]) * 3_600 + number(p[2]) * 60 + number(p[3])
+        return F.when(F.size(p) == 5, seconds * 1_000_000 + F.coalesce(number(F.rpad(p[4], 6, "0")), F.lit(0)))
+
+    parts = F.split(F.regexp_replace(text, OFFSET_PATTERN, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001", -1)
+    return F.transform(F.array(parts), value)[0]
 
 
 def hms(us: Column) -> Column:
