@@ -50,11 +50,27 @@ class Catalog:
     def names(self) -> list[str]:
         fs, path = self._fs()
         root = path(self.root)
-        return sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()) if fs.exists(root) else []
+        return sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and not s.getPath().getName().startswith(".")) if fs.exists(root) else []
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def require(self, name: str) -> DataFrame:
+        """The collection; an error that says how to make it if it is missing."""
+        if not self.exists(name):
+            raise LookupError(f"collection {name!r} does not exist; init() makes it")
+        return self.table(name)
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """Put ``rows``, which may be read from the collection itself, in its place: written beside it, then moved."""
+        fs, path = self._fs()
+        new, here = path(f"{self.root}/.{name}.next"), path(self.path(name))
+        rows.write.mode("overwrite").parquet(new.toString())
+        fs.delete(here, True)
+        if not fs.rename(new, here):
+            raise OSError(f"could not move {new.toString()} to {here.toString()}")
+        self.spark.catalog.refreshByPath(self.path(name))
+
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.path(name))
 

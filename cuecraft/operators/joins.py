@@ -26,3 +26,12 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, salt_by: str, broad
         if field.name != key:
             rest = rest.withColumn(field.name, F.lit(None).cast(field.dataType))
     return joined.unionByName(rest.select(joined.columns))
+
+
+def pick_join(large: DataFrame, picked: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of a large table with the rows that were picked from it, such as hits. They are kept and counted first;
+    up to ``broadcast_rows`` the large table isn't shuffled."""
+    from cuecraft.session import materialize
+
+    picked = materialize(picked)
+    return large.join(F.broadcast(picked) if picked.count() <= broadcast_rows else picked, key)

@@ -12,9 +12,10 @@ from cuecraft.schema import ENTITY_LABELS
 from cuecraft.session import table
 
 THRESHOLD = 0.30
+#: Similarities are compared to so many digits, so that ties are the same in SQL.
+DIGITS = 6
 TABLES = ("chunks", "documents", "embeddings", "entities", "events", "mentions")
-# Stop words of the stand-in language detection.
-STOP_WORDS = {"de": ("der", "die", "das", "und", "ist", "nicht", "wir", "für"), "en": ("the", "and", "is", "of", "we", "that", "for", "not"), "fr": ("le", "la", "les", "et", "est", "que", "nous", "pour"), "es": ("el", "los", "y", "es", "que", "en", "para", "una")}
+STOP_WORDS = ner.STOP_WORDS
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
@@ -23,11 +24,11 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 def entity_leaders(spark: SparkSession, d: str) -> DataFrame:
     m = _stream(spark, d)
-    return en.leaders(m, en.earlier_neighbours(m, "seq", "dense", THRESHOLD), "seq")
+    return en.leaders(m, en.earlier_neighbours(m, "seq", "dense", THRESHOLD, DIGITS), "seq")
 
 
 def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return en.resolve(_stream(spark, d), THRESHOLD)
+    return en.resolve(_stream(spark, d), THRESHOLD, digits=DIGITS)
 
 
 def extraction_counters(spark: SparkSession, d: str) -> DataFrame:

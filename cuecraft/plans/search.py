@@ -6,12 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuecraft.functions import text as tx
 from cuecraft.operators import rag
 from cuecraft.operators import retrieval as rt
+from cuecraft.operators.joins import pick_join
 from cuecraft.session import table
 
 K, POOL, SIMILAR = 5, 50, 0.35
+#: Scores are compared to so many digits, so that ties are the same in SQL.
+DIGITS = 6
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -24,22 +26,24 @@ def _vector_queries(v: DataFrame) -> DataFrame:
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return rt.dense_topk(_vector_queries(v), v, K)
+    return rt.dense_topk(_vector_queries(v), v, K, digits=DIGITS)
 
 
 def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return rt.dense_topk(_vector_queries(v), v.where("label = 3"), K)
+    return rt.dense_topk(_vector_queries(v), v.where("label = 3"), K, digits=DIGITS)
 
 
 def entity_search_top1(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest other row of every query: all rows are searched, and the query's own is left out."""
     v = _vectors(spark, d)
-    return rt.dense_topk(_vector_queries(v), v.where("id % 20 <> 0"), 1).select("query_id", "id", "score")
+    hits = rt.dense_topk(_vector_queries(v), v, 2, digits=DIGITS).where("id <> query_id")
+    return rt.top_per(hits.drop("rank"), "query_id", "score", "id", 1).select("query_id", "id", "score")
 
 
 def similarity_threshold_pairs(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return rt.similar(_vector_queries(v), v, SIMILAR)
+    return rt.similar(_vector_queries(v), v, SIMILAR, DIGITS)
 
 
 def _multi(v: DataFrame) -> DataFrame:
@@ -48,11 +52,8 @@ def _multi(v: DataFrame) -> DataFrame:
 
 
 def maxsim_topk(spark: SparkSession, d: str) -> DataFrame:
-    m = _multi(_vectors(spark, d))
-    q = m.where("doc % 20 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("dense"))
-    scores = rt.dense_scores(q, m.select("id", F.col("vec").alias("dense")), "query_id", "dense", "id", "dense", None, -2.0)
-    best = scores.groupBy((F.floor(F.col("query_id") / 10)).alias("query_id"), F.col("query_id").alias("q"), F.floor(F.col("id") / 10).alias("id")).agg(F.max("score").alias("best"))
-    return rt.top_per(best.groupBy("query_id", "id").agg(F.round(F.sum("best"), 6).alias("score")), "query_id", "score", "id", K)
+    m = _multi(_vectors(spark, d)).groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("no", "vec"))), lambda x: x["vec"]).alias("colbert"))  # ten at most
+    return rt.maxsim_search(m.where("doc % 20 = 0").select(F.col("doc").alias("query_id"), "colbert"), m.select(F.col("doc").alias("id"), "colbert"), K, digits=DIGITS)
 
 
 def candidate_union_maxsim(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +61,7 @@ def candidate_union_maxsim(spark: SparkSession, d: str) -> DataFrame:
     lists = []
     for no in (0, 1):
         q = m.where(f"doc % 20 = 0 AND no = {no}").select(F.col("doc").alias("query_id"), F.col("vec").alias("dense"))
-        hits = rt.dense_topk(q, m.select("id", F.col("vec").alias("dense")), POOL)
+        hits = rt.dense_topk(q, m.select("id", F.col("vec").alias("dense")), POOL, digits=DIGITS)
         lists.append(hits.select("query_id", F.floor(F.col("id") / 10).alias("id")))
     queries = m.where("doc % 20 = 0").select(F.col("doc").alias("query_id"), "no", "vec")
     return rt.maxsim_topk(rt.candidates(lists), queries, m.select(F.col("doc").alias("id"), "no", "vec"), K)
@@ -76,27 +77,22 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
-    return rt.sparse_topk(rt.sparse_weights(_questions(spark, d), "query_id", "text"), rt.sparse_weights(_documents(spark, d), "id", "text"), K)
+    return rt.sparse_topk(rt.sparse_weights(_questions(spark, d), "query_id", "text"), rt.sparse_weights(_documents(spark, d), "id", "text"), K, digits=DIGITS)
 
 
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    qw, dw = rt.sparse_weights(_questions(spark, d), "query_id", "text"), rt.sparse_weights(_documents(spark, d), "id", "text")
-    dense = rt.dense_topk(rt.hashed_vectors(qw, "query_id"), rt.hashed_vectors(dw, "id"), POOL)
-    return rt.rrf([rt.sparse_topk(qw, dw, POOL), dense], K)
+    return rt.search(_questions(spark, d), _documents(spark, d), "hybrid", K, pool=POOL, digits=DIGITS)
 
 
 def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
-    q, docs = _questions(spark, d), _documents(spark, d)
-    hits = rt.sparse_topk(rt.sparse_weights(q, "query_id", "text"), rt.sparse_weights(docs, "id", "text"), POOL)
-    # Tokens once per text, not once per pair.
-    qt = q.select("query_id", tx.tokens(F.col("text")).alias("qt"))
-    dt = docs.select("id", tx.tokens(F.col("text")).alias("dt"))
-    return rt.rerank(hits.join(qt, "query_id").join(dt, "id"), rt.coverage_score(F.col("qt"), F.col("dt")), K, POOL).select("query_id", "id", "score", "rank")
+    def sparse(q, c, limit, pool, digits):
+        return rt.sparse_topk(q, c, limit, digits=digits)
+
+    return rt.search(_questions(spark, d), _documents(spark, d), sparse, K, True, POOL, digits=DIGITS)
 
 
 def context_prompt(spark: SparkSession, d: str) -> DataFrame:
-    docs = _documents(spark, d)
-    hits = sparse_topk(spark, d).join(docs, "id")
+    hits = pick_join(_documents(spark, d), sparse_topk(spark, d), "id")
     return rag.prompts(_questions(spark, d), hits)
 
 
@@ -140,7 +136,7 @@ def _hash(t: str, k: str) -> str:
 SQL = {
     "dense_topk": f"WITH {_V} " + _TOP.format(s=_DENSE, k=K),
     "dense_topk_filtered": f"WITH {_V} " + _TOP.format(s=_DENSE + " AND v.label = 3", k=K),
-    "entity_search_top1": f"WITH {_V} SELECT query_id, id, score FROM (" + _TOP.format(s=_DENSE + " AND v.id % 20 <> 0", k=1) + ")",
+    "entity_search_top1": f"WITH {_V} SELECT query_id, id, score FROM (" + _TOP.format(s=_DENSE + " AND v.id <> q.id", k=1) + ")",
     "similarity_threshold_pairs": f"WITH {_V} SELECT * FROM ({_DENSE}) WHERE score >= {SIMILAR}",
     "maxsim_topk": f"WITH {_V}, s AS (SELECT q.id // 10 AS query_id, q.id AS q, v.id // 10 AS id, max({_COS.format(a='q.e', b='v.e')}) AS best FROM v q, v WHERE (q.id // 10) % 20 = 0 GROUP BY ALL) "
     + _TOP.format(s="SELECT query_id, id, round(sum(best), 6) AS score FROM s GROUP BY ALL", k=K),

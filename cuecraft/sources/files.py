@@ -41,6 +41,49 @@ def read_txt(spark: SparkSession, path: str, course_id: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.lit(course_id).alias("course_id"), tx.stem(F.col("_metadata.file_name")).alias("file_id"), F.col("value").alias("text"))
 
 
+def check_file(spark: SparkSession, path: str) -> None:
+    """A missing path, or one that is no file, is an error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where) or fs.getFileStatus(where).isDirectory():
+        raise FileNotFoundError(f"{path} does not exist or is no file")
+
+
+def write_one_file(spark: SparkSession, text: str, path: str) -> None:
+    """A text as one file of that very name, on whatever file system the path is of."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def write_srt_file(segments: DataFrame, path: str) -> None:
+    """The segments of one recording as one subtitle file, a blank line after each cue."""
+    check_suffix(path, ".srt")
+    cues = srt_lines(segments).orderBy("no").select("cue")
+    write_one_file(segments.sparkSession, "".join(r["cue"] + "\n" for r in cues.toLocalIterator()), path)
+
+
+def read_pages(spark: SparkSession, path: str, parser: Callable | None = None) -> DataFrame:
+    """Blocks of page files: ``file_id, blocks``. The parser maps Pandas batches of ``path, content`` to ``path, blocks``; by
+    default files are taken for HTML."""
+    kind = "path string, blocks array<string>"
+    if parser is not None:
+        rows = read_binary(spark, path, parser, kind)
+    else:
+        rows = spark.read.format("binaryFile").load(path).select("path", blocks(F.decode("content", "utf-8")).alias("blocks"))
+    return rows.select(tx.stem(F.col("path")).alias("file_id"), "blocks")
+
+
+def read_definitions(spark: SparkSession, path: str) -> dict[str, str]:
+    """Labels and their meanings of a JSON object."""
+    import json
+
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
 def read_binary(spark: SparkSession, path: str, parser: Callable, schema: str) -> DataFrame:
     """Binary files (pages, audio) through a parser that maps batches of ``path, content`` to rows of ``schema``."""
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parser, schema)
