@@ -146,12 +146,13 @@ def pieces(text: str, min_size: int, max_size: int, overlap: int) -> list[tuple[
     """Start and end of every piece in code points; a text within ``max_size`` is one piece.
 
     Every piece is at most ``max_size`` long; from the second on it begins ``overlap`` characters before the end of the
-    one before it. An overlap of more than half of the size is cut to half of it.
+    one before it. An overlap that isn't below the size leaves no room for anything new; it is cut to half of the size
+    here. ``settings`` refuses requests with such a one.
     """
     n = len(text)
     if n <= max_size:
         return [(0, n)] if n else []
-    overlap = max(0, min(overlap, max_size // 2))
+    overlap = max(0, overlap) if overlap < max_size else max_size // 2
     cuts = _cuts(text, max_size - overlap)
     ends = [p for p, _ in cuts] + [n]
     strengths = [s for _, s in cuts] + [PARAGRAPH]
@@ -164,7 +165,8 @@ def pieces(text: str, min_size: int, max_size: int, overlap: int) -> list[tuple[
 def settings(requests: DataFrame) -> DataFrame:
     """One row for a request: ``request_id, min_size, max_size, overlap_chars`` with the model's defaults for nulls.
 
-    Repeated rows count once; requests whose maximum lies below their minimum were refused and are left out.
+    Repeated rows count once; requests whose maximum lies below their minimum were refused and are left out, and so are
+    those whose overlap is not below the maximum.
     """
     filled = requests.where(F.col("request_id").isNotNull()).select(
         "request_id",
@@ -174,7 +176,7 @@ def settings(requests: DataFrame) -> DataFrame:
     )
     # A key with rows that differ keeps the least of each setting; the check of max against min follows.
     one = filled.groupBy("request_id").agg(*(F.min(c).alias(c) for c in ("min_size", "max_size", "overlap_chars")))
-    return one.where((F.col("max_size") >= F.col("min_size")) & (F.col("max_size") > 0))
+    return one.where((F.col("max_size") >= F.col("min_size")) & (F.col("max_size") > 0) & (F.col("overlap_chars") < F.col("max_size")))
 
 
 def split_oversized(chunks: DataFrame, requests: DataFrame, key: str = "chunk_id", text: str = "text", with_text: bool = True) -> DataFrame:

@@ -411,3 +411,23 @@ def test_formulas_are_in_no_language():
 def test_garbled_spaces_and_marks(classifier, bad, good):
     name, before, _ = classifier.judge(bad)
     assert name != garbled.SOUND and before == good
+
+
+@pytest.mark.parametrize("overlap", [0, 10, 59, 90])
+def test_overlaps_are_kept_as_asked(overlap):
+    text = " ".join(f"Sentence number {i} is here." for i in range(60))
+    found = splitting.pieces(text, 20, 100, overlap)
+    assert found[0][0] == 0 and found[-1][1] == len(text) and all(b - a <= 100 for a, b in found)
+    assert all(a == end - overlap for (_, end), (a, _) in zip(found, found[1:]))
+
+
+def test_requests_with_an_impossible_overlap_are_refused(spark):
+    req = spark.createDataFrame([(7, 20, 60, True, 60), (8, 20, 60, True, 59), (9, 20, 60, False, 60)], "request_id bigint, min_chunk_size int, max_chunk_size int, overlap boolean, overlap_chars int")
+    assert sorted((r["request_id"], r["overlap_chars"]) for r in splitting.settings(req).collect()) == [(8, 59), (9, 0)]
+
+
+def test_long_misspelt_names_are_linked():
+    names = [("the strong law of large numbers theorem", "e1", "THEOREM_RULE"), ("kernel", "e2", "CONCEPT")]
+    m = linking.Matcher(names)
+    assert m.link("strong law of large numbrs theorem the", None) == "e1" and m.link("strong law of large theorem", None) == linking.UNMATCHED
+    assert m.link("x" * 200, None) == linking.UNMATCHED
