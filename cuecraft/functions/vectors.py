@@ -21,12 +21,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
-def maxsim(query: Column, doc: Column) -> Column:
-    """Sum over the query's vectors of the best dot product with a vector of the document."""
-    best = F.transform(query, lambda q: F.array_max(F.transform(doc, lambda d: dot(q, d))))
-    return F.aggregate(best, F.lit(0.0), lambda s, x: s + x)
-
-
 def positive(weights: Column) -> Column:
     """Without weights that are zero or less."""
     return F.map_filter(weights, lambda _, v: v > 0)

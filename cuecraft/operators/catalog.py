@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuecraft.schema import COLLECTIONS, DIMENSION, ENTITY_POINT, LECTURE_POINT
@@ -82,8 +85,13 @@ class Catalog:
     def status(self) -> list[dict]:
         return [{"collection_name": n, "exists": True, "status": "ready", "indexed_vectors_count": self.table(n).count()} if self.exists(n) else {"collection_name": n, "exists": False} for n in COLLECTIONS]
 
-    def scroll(self, name: str, limit: int, label: str | None = None) -> DataFrame:
+    def counts(self, names: list[str]) -> DataFrame:
+        """``collection_name, n``: the rows of each collection."""
+        each = [self.table(n).agg(F.lit(n).alias("collection_name"), F.count("*").alias("n")) for n in names]
+        return reduce(DataFrame.unionByName, each)
+
+    def scroll(self, name: str, limit: int, label=None, key: str = "id") -> DataFrame:
         """The first page by id, without vectors."""
         df = self.table(name)
         df = df if label is None else df.where(df["label"] == label)
-        return df.drop("dense", "sparse", "colbert").orderBy("id").limit(limit)
+        return df.drop("dense", "sparse", "colbert").orderBy(key).limit(limit)

@@ -7,13 +7,18 @@ sorted by lecture and block, and the fold holds one open chunk and one block of
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuecraft.functions import text as tx
+from cuecraft.functions.timefmt import clock
 from cuecraft.schema import MAX_CHUNK_FUNCTION, MIN_CHUNK, SENTENCES_PER_CHUNK
 
+#: White space after a full stop, as Unicode has it.
+_AFTER_STOP = re.compile(r"(?<=\.)[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _BLOCK = "lecture_id string, chunk_no long, first_block long, last_block long, start_us long, end_us long, content string"
 
 
@@ -28,14 +33,32 @@ def split_cues(cues: DataFrame) -> DataFrame:
     Time is shared out by length: a rounded time per character (half to even) times the part's length, from the end of
     the part before; the first starts and the last ends with its cue. Null content counts as empty; null times stay.
     """
-    c = cues.select("lecture_id", "seq", "start_us", "end_us", F.coalesce("content", F.lit("")).alias("whole"))
-    parts = c.select("*", F.posexplode(tx.period_parts(F.col("whole"))).alias("part", "content")).withColumn("n", F.size(tx.period_parts(F.col("whole"))))
-    per_char = F.bround((F.col("end_us") - F.col("start_us")) / F.greatest(F.length("whole"), F.lit(1))).cast("bigint")
-    w = Window.partitionBy("lecture_id", "seq", "start_us", "end_us", "whole").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.col("start_us") + F.sum(per_char * F.length("content")).over(w)
-    end = F.when(F.col("part") == F.col("n") - 1, F.col("end_us")).otherwise(reached)
-    start = F.when(F.col("part") == 0, F.col("start_us")).otherwise(reached - per_char * F.length("content"))
-    return parts.select("lecture_id", "seq", "part", start.alias("start_us"), end.alias("end_us"), "content")
+    source = cues.select("lecture_id", F.col("seq").cast("bigint").alias("seq"), "start_us", "end_us", F.coalesce("content", F.lit("")).alias("content"))
+    kinds = {"lecture_id": pa.string(), "seq": pa.int64(), "part": pa.int32(), "start_us": pa.int64(), "end_us": pa.int64(), "content": pa.string()}
+
+    def cut(batches):
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for lecture, seq, start, end, whole in zip(*(c.to_pylist() for c in batch.columns)):
+                parts = _AFTER_STOP.split(whole)
+                timed = start is not None and end is not None
+                per_char = round((end - start) / max(len(whole), 1)) if timed else None
+                at = start
+                for k, content in enumerate(parts):
+                    stop = at + per_char * len(content) if timed else None
+                    last = k == len(parts) - 1
+                    row = (lecture, seq, k, at if timed or k == 0 else None, end if last else stop, content)
+                    for column, value in zip(out, row):
+                        column.append(value)
+                    at = stop
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds.values())], names=list(kinds))
+
+    return source.mapInArrow(cut, "lecture_id string, seq bigint, part int, start_us bigint, end_us bigint, content string")
+
+
+def payload(chunks: DataFrame) -> DataFrame:
+    """What is stored beside a chunk's vectors (``loc`` with its place): text, course, lecture and times as texts."""
+    return chunks.select(*(c for c in chunks.columns if c not in ("text", "loc")), "text", "loc.course_id", "loc.lecture_id", clock(F.col("loc.start_us")).alias("start_time"), clock(F.col("loc.end_us")).alias("end_time"))
 
 
 def islands(parts: DataFrame) -> DataFrame:

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from cuecraft.functions import text as tx
 from cuecraft.functions.timefmt import hms, srt_time
 from cuecraft.operators import chunking as ch
+from cuecraft.schema import MAX_CHUNK_FUNCTION
 from cuecraft.session import table
 from cuecraft.sources import files
 
 MIN, MAX = 350, 400
+#: The maximum of the whole pipeline.
+FULL_MAX = MAX_CHUNK_FUNCTION
 
 
 def cues(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +106,22 @@ r(lecture_id, block_no, chunk_no, size) AS (SELECT lecture_id, block_no, 0::BIGI
 grown AS (SELECT b.lecture_id, r.chunk_no, min(b.block_no) AS first_block, max(b.block_no) AS last_block, first(start_us ORDER BY b.block_no) AS start_us, last(end_us ORDER BY b.block_no) AS end_us, string_agg(content, ' ' ORDER BY b.block_no) AS content
  FROM blocks b JOIN r ON r.lecture_id = b.lecture_id AND r.block_no = b.block_no GROUP BY b.lecture_id, r.chunk_no)"""
 
+_OVERLAPPED = """SELECT g.lecture_id, g.chunk_no, g.first_block, g.last_block, CASE WHEN p.block_no IS NULL THEN g.start_us ELSE p.start_us END AS start_us, CASE WHEN n.block_no IS NULL THEN g.end_us ELSE n.end_us END AS end_us,
+ coalesce(p.content || ' ', '') || g.content || coalesce(' ' || n.content, '') AS content FROM grown g
+ LEFT JOIN blocks p ON p.lecture_id = g.lecture_id AND p.block_no = g.first_block - 1 LEFT JOIN blocks n ON n.lecture_id = g.lecture_id AND n.block_no = g.last_block + 1"""
+_FULL = f"""WITH RECURSIVE {_GROWN}, ov AS MATERIALIZED ({_OVERLAPPED}),
+h(lecture_id, chunk_no, pos, txt, a, b, w) AS (SELECT lecture_id, chunk_no, 0::BIGINT, content, start_us, end_us, list_filter(string_split_regex(content, '{_WS}+'), lambda x: x <> '') FROM ov
+ UNION ALL SELECT lecture_id, chunk_no, pos + CASE WHEN side = 0 THEN 0 ELSE len(w) // 2 END, CASE WHEN side = 0 THEN lt ELSE array_to_string(w[len(w) // 2 + 1:], ' ') END,
+  CASE WHEN side = 0 THEN a ELSE mid END, CASE WHEN side = 0 THEN mid ELSE b END, CASE WHEN side = 0 THEN w[1:len(w) // 2] ELSE w[len(w) // 2 + 1:] END
+ FROM (SELECT *, array_to_string(w[1:len(w) // 2], ' ') AS lt, a + CAST(round_even((b - a) * (length(array_to_string(w[1:len(w) // 2], ' '))::DOUBLE / length(txt)), 0) AS BIGINT) AS mid FROM h WHERE length(txt) > {FULL_MAX} AND len(w) > 1), (VALUES (0), (1)) s(side))
+SELECT lecture_id, chunk_no, CAST(row_number() OVER (PARTITION BY lecture_id, chunk_no ORDER BY pos) - 1 AS INT) AS piece_no, a AS start_us, b AS end_us, {_strip('txt')} AS text FROM h WHERE NOT (length(txt) > {FULL_MAX} AND len(w) > 1)"""
+
 SQL = {
+    "chunk_srt_full": _FULL,
+    "page_blocks": f"""WITH RECURSIVE b AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS arr FROM documents WHERE text IS NOT NULL),
+u AS MATERIALIZED (SELECT doc_id, unnest(arr) AS t, generate_subscripts(arr, 1) AS i FROM b), s AS MATERIALIZED (SELECT doc_id, i, t, len(string_split_regex(t, '{_WS}+')) AS n FROM u),
+r(doc_id, i, no, n) AS (SELECT doc_id, i, 0::BIGINT, n FROM s WHERE i = 1 UNION ALL SELECT s.doc_id, s.i, CASE WHEN r.n + s.n <= 120 THEN r.no ELSE r.no + 1 END, CASE WHEN r.n + s.n <= 120 THEN r.n + s.n ELSE s.n END FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1)
+SELECT s.doc_id, CAST(r.no AS INT) AS chunk_no, string_agg(s.t, chr(10) ORDER BY s.i) AS content FROM s JOIN r ON r.doc_id = s.doc_id AND r.i = s.i GROUP BY s.doc_id, r.no""",
     "sentence_split": f"SELECT doc_id, unnest(arr) AS content, generate_subscripts(arr, 1) - 1 AS part FROM (SELECT doc_id, string_split(regexp_replace(text, '\\.{_WS}+', '.' || chr(1), 'g'), chr(1)) AS arr FROM documents WHERE text IS NOT NULL)",
     "cue_split_timed": f"WITH {_PARTS} SELECT * FROM parts",
     "sentence_islands": f"WITH {_BLOCKS} SELECT * FROM blocks",
@@ -128,4 +146,4 @@ SELECT lecture_id, no, no || chr(10) || printf('%02d:%02d:%02d,%03d', start_us /
  CASE WHEN regexp_extract(srt_file, '[^/\\\\.](\\.[^./\\\\]+)$', 1) = '' THEN regexp_extract(srt_file, '([^/\\\\]*)$', 1) ELSE regexp_extract(regexp_extract(srt_file, '([^/\\\\]*)$', 1), '^(.*)\\.[^.]*$', 1) END AS stem,
  CASE regexp_extract(srt_file, '(\\.[^./\\\\]+)$', 1) WHEN '.txt' THEN 'text' WHEN '.pdf' THEN 'pages' WHEN '.srt' THEN 'subtitles' END AS reader, CASE WHEN coalesce(srt_file, '') = '' THEN 'unknown' ELSE srt_file END AS file FROM ingest_requests""",
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "chunk_srt_full", "page_blocks")}
+QUERIES = {name: globals()[name] for name in SQL}

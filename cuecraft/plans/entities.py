@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from cuecraft.operators import entities as en
 from cuecraft.operators import ner
-from cuecraft.schema import ENTITY_LABELS
+from cuecraft.operators.catalog import Catalog
+from cuecraft.schema import ENTITY_LABELS, MERGE_THRESHOLD
 from cuecraft.session import table
 
 THRESHOLD = 0.30
@@ -31,6 +32,10 @@ def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     return en.resolve(_stream(spark, d), THRESHOLD, digits=DIGITS)
 
 
+def entity_resolution_strict(spark: SparkSession, d: str) -> DataFrame:
+    return en.resolve(_stream(spark, d), MERGE_THRESHOLD, digits=DIGITS)
+
+
 def extraction_counters(spark: SparkSession, d: str) -> DataFrame:
     return en.counters(entity_resolution(spark, d))
 
@@ -81,11 +86,25 @@ def language_examples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def collection_status(spark: SparkSession, d: str) -> DataFrame:
-    counts = [table(spark, d, t).agg(F.lit(t).alias("collection_name"), F.count("*").alias("n")) for t in TABLES]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    counts = Catalog(spark, d).counts([f"{t}.parquet" for t in TABLES])
+    return counts.select(F.regexp_replace("collection_name", r"\.parquet$", "").alias("collection_name"), "n")
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """The stream of vectors as mentions with texts and labels."""
+    v = _stream(spark, d)
+    return v.select("seq", F.concat(F.lit("Name "), (F.col("seq") % 3).cast("string")).alias("text"), F.col("label").cast("string").alias("label"))
+
+
+def entities_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The entities that resolution leaves, by the functions of the service."""
+    merged = en.merge(en.resolve(_stream(spark, d), THRESHOLD, digits=DIGITS), _labelled(spark, d))
+    return merged.select("entity", "name", "label", F.size("entity_instances").cast("bigint").alias("n"), F.array_join(F.transform("entity_instances", lambda i: F.concat(i["text"], F.lit("/"), i["label"])), "|").alias("instances"))
+
+
+def entity_page(spark: SparkSession, d: str) -> DataFrame:
+    page = en.entity_page(table(spark, d, "entities"), limit=60)
+    return page.select("total", "limit", F.size("label_distribution").cast("bigint").alias("labels"), F.array_join(F.transform("entities", lambda e: e["name"]), "|").alias("names"))
 
 
 def merge_payload(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +114,7 @@ def merge_payload(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scroll_page(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where("label = 3").select("vec_id", "label").orderBy("vec_id").limit(20)
+    return Catalog(spark, d).scroll("embeddings.parquet", 20, 3, "vec_id").select("vec_id", "label")
 
 
 _EDGES = f"""e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -108,8 +127,15 @@ _LABELS = ", ".join(f"'{x}'" for x in ENTITY_LABELS)
 _SUMMARY = "SELECT name, label, CAST(coalesce(len(entity_instances), 0) AS BIGINT) AS num_instances{more} FROM (SELECT * FROM entities {where} ORDER BY entity_id LIMIT {n})"
 
 SQL = {
+    "entities_merged": f"""WITH RECURSIVE {_EDGES}, m AS (SELECT r.entity, r.seq, 'name ' || (r.seq % 3) AS text, CAST(e.label AS VARCHAR) AS label FROM resolved r JOIN embeddings e ON e.vec_id = r.seq),
+nm AS (SELECT entity, first(text ORDER BY c DESC, f) AS name FROM (SELECT entity, text, count(*) AS c, min(seq) AS f FROM m GROUP BY ALL) GROUP BY entity),
+lb AS (SELECT entity, first(label ORDER BY c DESC, f) AS label FROM (SELECT entity, label, count(*) AS c, min(seq) AS f FROM m GROUP BY ALL) GROUP BY entity)
+SELECT entity, name, label, n, instances FROM (SELECT entity, count(*) AS n, string_agg(text || '/' || label, '|' ORDER BY seq) AS instances FROM m GROUP BY entity) JOIN nm USING (entity) JOIN lb USING (entity)""",
+    "entity_page": """SELECT count(*) AS total, 60 AS "limit", count(DISTINCT label) AS labels, string_agg(name, '|' ORDER BY label, n DESC, name) AS names
+ FROM (SELECT name, label, coalesce(len(entity_instances), 0) AS n FROM (SELECT * FROM entities ORDER BY entity_id LIMIT 60))""",
     "entity_leaders": f"WITH RECURSIVE {_EDGES} SELECT seq FROM leaders",
     "entity_resolution": f"WITH RECURSIVE {_EDGES} SELECT * FROM resolved",
+    "entity_resolution_strict": f"WITH RECURSIVE {_EDGES.replace(f'score >= {THRESHOLD}', f'score >= {MERGE_THRESHOLD}')} SELECT * FROM resolved",
     "extraction_counters": f"WITH RECURSIVE {_EDGES} SELECT count(*) AS extracted, count(*) FILTER (is_new) AS new_entities, count(*) FILTER (NOT is_new) AS merged FROM resolved",
     "entity_mode_label": "SELECT user_id, first(event_type ORDER BY n DESC, f) AS label FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY user_id",
     "entity_mode_name": "SELECT label, first(text ORDER BY n DESC, f) AS name FROM (SELECT label, text, count(*) AS n, min(seq) AS f FROM (SELECT DISTINCT seq, upper(label) AS label, lower(text) AS text FROM mentions WHERE text IS NOT NULL AND label IS NOT NULL) GROUP BY ALL) GROUP BY label",

@@ -3,11 +3,13 @@ divisible by 20."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuecraft.functions.windows import numbered
 from cuecraft.operators import rag
 from cuecraft.operators import retrieval as rt
+from cuecraft.operators.chunking import payload
 from cuecraft.operators.joins import pick_join
 from cuecraft.session import table
 
@@ -102,17 +104,23 @@ def json_answer_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def payload_projection(spark: SparkSession, d: str) -> DataFrame:
-    from cuecraft.functions.timefmt import clock
-
-    c = table(spark, d, "chunks")
-    place = F.when(F.col("loc.course_id").isNotNull() & F.col("loc.lecture_id").isNotNull(), F.concat_ws("/", "loc.course_id", "loc.lecture_id"))
-    return c.select("chunk_id", F.col("text").alias("content"), place.alias("place"), clock(F.col("loc.start_us")).alias("start_time"), clock(F.col("loc.end_us")).alias("end_time")).distinct()
+    c = payload(table(spark, d, "chunks").select("chunk_id", "text", "loc"))
+    place = F.when(F.col("course_id").isNotNull() & F.col("lecture_id").isNotNull(), F.concat_ws("/", "course_id", "lecture_id"))
+    return c.select("chunk_id", F.col("text").alias("content"), place.alias("place"), "start_time", "end_time").distinct()
 
 
 def running_rank(spark: SparkSession, d: str) -> DataFrame:
     """Position of every question in its course by time of asking."""
     rows = table(spark, d, "ask_log").select("ask_id", "course_id", "asked_at").distinct().where("course_id IS NOT NULL")
-    return rows.select("ask_id", "course_id", F.row_number().over(Window.partitionBy("course_id").orderBy("asked_at", "ask_id")).alias("no"))
+    return numbered(rows, "course_id", "asked_at", "ask_id").select("ask_id", "course_id", "no")
+
+
+def lecture_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks found by the questions, with their places."""
+    c = table(spark, d, "chunks").select(F.col("chunk_id").alias("id"), "text", "loc.course_id", "loc.lecture_id", "loc.start_us", "loc.end_us").where("text IS NOT NULL").dropDuplicates(["id"])
+    hits = rt.sparse_topk(rt.sparse_weights(_questions(spark, d), "query_id", "text"), rt.sparse_weights(c, "id", "text"), K, digits=DIGITS)
+    found = rt.lecture_items(hits, c)
+    return found.select("query_id", "rank", "score", "text", "video_location.course_id", "video_location.lecture_id", "video_location.start_time", "video_location.end_time")
 
 
 _COS = "round(list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b}))), 6)"
@@ -133,7 +141,21 @@ def _hash(t: str, k: str) -> str:
     return _HASH.format(t=t, k=k)[1:]
 
 
+_CLOCK = """CASE WHEN {x} IS NOT NULL THEN (CASE WHEN {x} // 86400000000 = 0 THEN '' ELSE printf('%d day', {x} // 86400000000) || (CASE WHEN {x} // 86400000000 = 1 THEN '' ELSE 's' END) || ', ' END)
+ || printf('%d:%02d:%02d', ({x} % 86400000000) // 3600000000, ({x} % 3600000000) // 60000000, ({x} % 60000000) // 1000000)
+ || (CASE WHEN {x} % 1000000 = 0 THEN '' ELSE printf('.%06d', {x} % 1000000) END) END"""
+_CHUNK_HITS = """q AS (SELECT DISTINCT ask_id AS query_id, question AS text FROM ask_log WHERE ask_id % 20 = 0 AND question IS NOT NULL),
+d AS (SELECT DISTINCT chunk_id AS id, text, loc.course_id AS course_id, loc.lecture_id AS lecture_id, loc.start_us AS s, loc.end_us AS e FROM chunks WHERE text IS NOT NULL),
+qt AS (SELECT query_id, token, count(*) AS tf FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[0-9a-zà-ÿ]+')) AS token FROM q) GROUP BY ALL),
+dt AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[0-9a-zà-ÿ]+')) AS token FROM d) GROUP BY ALL),
+qw AS (SELECT *, tf / sqrt(sum(tf * tf) OVER (PARTITION BY query_id)) AS w FROM qt),
+dw AS (SELECT *, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)) AS w FROM dt),
+sp AS (SELECT query_id, id, round(sum(qw.w * dw.w), 6) AS score FROM qw JOIN dw USING (token) GROUP BY ALL)"""
+
 SQL = {
+    "lecture_hits": f"WITH {_CHUNK_HITS}, h AS (" + _TOP.format(s="SELECT * FROM sp", k=K) + ") SELECT query_id, rank, score, text, "
+    + ", ".join(f"CASE WHEN course_id IS NOT NULL AND lecture_id IS NOT NULL THEN {x} END AS {n}" for x, n in (("course_id", "course_id"), ("lecture_id", "lecture_id"), (_CLOCK.format(x="s"), "start_time"), (_CLOCK.format(x="e"), "end_time")))
+    + " FROM h JOIN d USING (id)",
     "dense_topk": f"WITH {_V} " + _TOP.format(s=_DENSE, k=K),
     "dense_topk_filtered": f"WITH {_V} " + _TOP.format(s=_DENSE + " AND v.label = 3", k=K),
     "entity_search_top1": f"WITH {_V} SELECT query_id, id, score FROM (" + _TOP.format(s=_DENSE + " AND v.id <> q.id", k=1) + ")",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuecraft.functions import text as tx
 from cuecraft.functions.timefmt import parse_offset, srt_time
+from cuecraft.functions.windows import numbered
 from cuecraft.schema import PAGE_TOKENS
 
 _CUE = r"(?s)^\s*(?:(\d+)[^\S\n]*\n)?\s*(\d+:\d\d:\d\d[,.]\d{1,3})\s*-->\s*(\d+:\d\d:\d\d[,.]\d{1,3})[^\n]*\n?(.*)$"
@@ -125,17 +126,8 @@ def pack(block_texts: Column, max_tokens: int = PAGE_TOKENS) -> Column:
 
 def srt_lines(segments: DataFrame, key: str = "lecture_id") -> DataFrame:
     """Segments (``key, seq, start_s, end_s, text``) as numbered subtitle cues: ``key, no, cue``. A missing end is the start."""
-    from pyspark.sql import Window
-
-    no = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
-    cue = F.concat(no.cast("string"), F.lit("\n"), srt_time(F.col("start_s")), F.lit(" --> "), srt_time(F.coalesce("end_s", "start_s")), F.lit("\n"), tx.strip(F.coalesce("text", F.lit(""))), F.lit("\n"))
-    return segments.select(key, no.alias("no"), cue.alias("cue"))
-
-
-def write_srt(segments: DataFrame, path: str, key: str = "lecture_id") -> None:
-    """One directory of text per lecture, its cues in order and parted by blank lines."""
-    rows = srt_lines(segments, key).repartition(key).sortWithinPartitions(key, "no")
-    rows.select(key, F.col("cue").alias("value")).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)
+    cue = F.concat(F.col("no").cast("string"), F.lit("\n"), srt_time(F.col("start_s")), F.lit(" --> "), srt_time(F.coalesce("end_s", "start_s")), F.lit("\n"), tx.strip(F.coalesce("text", F.lit(""))), F.lit("\n"))
+    return numbered(segments, key, "seq").select(key, "no", cue.alias("cue"))
 
 
 def write_txt(texts: DataFrame, path: str) -> None:
