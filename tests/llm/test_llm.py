@@ -427,7 +427,7 @@ def test_requests_with_an_impossible_overlap_are_refused(spark):
 
 
 def test_long_misspelt_names_are_linked():
-    names = [("the strong law of large numbers theorem", "e1", "THEOREM_RULE"), ("kernel", "e2", "CONCEPT")]
+    names = [("strong uniform law of large random numbers theorem", "e1", "THEOREM_RULE"), ("kernel", "e2", "CONCEPT")]
     m = linking.Matcher(names)
-    assert m.link("strong law of large numbrs theorem the", None) == "e1" and m.link("strong law of large theorem", None) == linking.UNMATCHED
+    assert m.link("strong uniform law of large random numbrs theorem", None) == "e1" and m.link("strong law of large numbers theorem", None) == linking.UNMATCHED
     assert m.link("x" * 200, None) == linking.UNMATCHED
