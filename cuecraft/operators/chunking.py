@@ -1,14 +1,21 @@
 """Chunking of timed cues and of texts.
 
 Cues are split at full stops, joined into blocks that end with one, grown to a minimum size, given neighbours as context
-and halved while too large. Splitting and joining are expressions and windows. Growing is a fold in cue order: rows come
-sorted by lecture and block, and the fold holds one open chunk and one block of context, however long a lecture is.
+and halved while too large. A lecture of any length is spread over tasks:
+
+* blocks are numbered over ranges of (lecture, cue): each range counts on its own, and only the lecture that goes on from
+  the range before gets an offset, so one row a range;
+* growing is a fold whose state is one number, the size of the open chunk. The blocks' lengths are cut into slices; for
+  each slice a short table says, for every place where the open chunk can close, how many chunks follow and what stays
+  open. The tables of a lecture are composed, then every slice is folded from its entry. Texts meet by chunk at last.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,10 +23,12 @@ from pyspark.sql import functions as F
 from cuecraft.functions import text as tx
 from cuecraft.functions.timefmt import clock
 from cuecraft.schema import MAX_CHUNK_FUNCTION, MIN_CHUNK, SENTENCES_PER_CHUNK
+from cuecraft.session import materialize
 
 #: White space after a full stop, as Unicode has it.
 _AFTER_STOP = re.compile(r"(?<=\.)[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_BLOCK = "lecture_id string, chunk_no long, first_block long, last_block long, start_us long, end_us long, content string"
+#: Blocks of a lecture that are folded in one task.
+SLICE_BLOCKS = 50_000
 
 
 def check_sizes(min_size: int, max_size: int) -> None:
@@ -66,77 +75,174 @@ def islands(parts: DataFrame) -> DataFrame:
 
     The contents are joined by spaces; the last block of a lecture may be incomplete. Blocks count from 0.
     """
-    w = Window.partitionBy("lecture_id").orderBy("seq", "part").rowsBetween(Window.unboundedPreceding, -1)
-    closed = F.col("content").endswith(".").cast("bigint")
-    numbered = parts.withColumn("block_no", F.coalesce(F.sum(closed).over(w), F.lit(0)))
+    kept = ["lecture_id", "seq", "part", "start_us", "end_us", "content"]
+    ranged = parts.select(*kept).repartitionByRange("lecture_id", "seq", "part").sortWithinPartitions("lecture_id", "seq", "part").withColumn("_p", F.spark_partition_id())
+
+    def count(batches):
+        lecture, closed = object(), 0
+        for batch in batches:
+            numbers = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(5).to_pylist()):
+                if name != lecture:
+                    lecture, closed = name, 0
+                numbers.append(closed)
+                closed += content.endswith(".")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, type=pa.int64())], names=[*kept, "_p", "_no"])
+
+    numbered = materialize(ranged.mapInArrow(count, "lecture_id string, seq bigint, part int, start_us bigint, end_us bigint, content string, _p int, _no bigint"))
+    closed = numbered.groupBy("lecture_id", "_p").agg(F.sum(F.col("content").endswith(".").cast("bigint")).alias("n"))
+    before = Window.partitionBy("lecture_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one lecture of a range goes on from another range.
+    offsets = closed.withColumn("ahead", F.sum("n").over(before)).where("ahead > 0").select(F.col("lecture_id").alias("_l"), F.col("_p").alias("_q"), "ahead")
+    placed = numbered.join(F.broadcast(offsets), (F.col("lecture_id").eqNullSafe(F.col("_l"))) & (F.col("_p") == F.col("_q")), "left")
     row = F.struct("seq", "part", "start_us", "end_us", "content")
-    grouped = numbered.groupBy("lecture_id", "block_no").agg(F.sort_array(F.collect_list(row)).alias("r"))  # one block
+    grouped = placed.groupBy("lecture_id", (F.col("_no") + F.coalesce("ahead", F.lit(0))).alias("block_no")).agg(F.sort_array(F.collect_list(row)).alias("r"))  # one block
     return grouped.select(
         "lecture_id", "block_no", F.col("r")[0]["start_us"].alias("start_us"), F.element_at("r", -1)["end_us"].alias("end_us"),
         F.array_join(F.col("r.content"), " ").alias("content"),
     )
 
 
-def grow(blocks: DataFrame, min_size: int, overlap: bool = False) -> DataFrame:
+class Fold:
+    """Growing over one slice of block lengths. A chunk closes with the first block that makes it longer than the minimum;
+    its size is that of the blocks and one space between two."""
+
+    def __init__(self, lengths: np.ndarray, min_size: int):
+        n = len(lengths)
+        self.n, self.min_size = n, min_size
+        self.sums = np.concatenate([[0], np.cumsum(lengths.astype(np.int64) + 1)])
+        # Where a chunk closes that begins with block i; n if it stays open.
+        self.close = np.searchsorted(self.sums, self.sums[:-1] + min_size + 1, side="right") - 1
+        self.close = np.where(self.close < n, self.close, n)
+
+    def first_close(self, open_size: int) -> int:
+        """The block that closes what is open at the start (-1: nothing is)."""
+        held = open_size + 1 if open_size >= 0 else 0
+        k = int(np.searchsorted(self.sums, self.min_size + 1 - held, side="right"))
+        return min(max(k - 1, 0), self.n)
+
+    def run(self, start: int) -> list[int]:
+        """Blocks that close a chunk, from a chunk that begins with block ``start``."""
+        out = []
+        while start < self.n and (k := int(self.close[start])) < self.n:
+            out.append(k)
+            start = k + 1
+        return out
+
+    def left_open(self, begin: int, held: int = -1) -> int:
+        """Size of what is open at the end, if the last chunk begins with ``begin``, or goes on from a size ``held``."""
+        size = int(self.sums[-1] - self.sums[begin])
+        return held + size if held >= 0 else size - 1 if begin < self.n else -1
+
+    def table(self) -> list[tuple[int, int, int]]:
+        """For each block that can be the first to close: the block, chunks closed by the end, and the size left open."""
+        last = self.first_close(-1)
+        chunks, open_at = np.zeros(self.n + 2, dtype=np.int64), np.full(self.n + 2, -1, dtype=np.int64)
+        for i in range(self.n - 1, -1, -1):
+            k = int(self.close[i])
+            chunks[i], open_at[i] = (0, self.left_open(i)) if k >= self.n else (chunks[k + 1] + 1, open_at[k + 1])
+        return [(j, int(chunks[j + 1]) + 1, int(open_at[j + 1])) for j in range(min(last, self.n - 1) + 1)]
+
+
+_TABLE = pa.schema([("lecture_id", pa.string()), ("slice", pa.int64()), ("sums", pa.list_(pa.int64())), ("total", pa.int64()), ("table", pa.list_(pa.struct([("close", pa.int32()), ("chunks", pa.int64()), ("left", pa.int64())])))])
+
+
+def _slices(batches, columns: int):
+    """Key (the first two columns) and the numbers of the other columns of each slice, whose rows follow each other, be it
+    over several batches."""
+    held, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lectures, numbers = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+        rest = [batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        edges = [i for i in range(1, len(lectures)) if lectures[i] != lectures[i - 1] or numbers[i] != numbers[i - 1]]
+        for low, high in zip([0, *edges], [*edges, len(lectures)]):
+            key = (lectures[low], int(numbers[low]))
+            if parts and key != held:
+                yield held, [np.concatenate(x) for x in zip(*parts)]
+                parts = []
+            held = key
+            parts.append([x[low:high] for x in rest])
+    if parts:
+        yield held, [np.concatenate(x) for x in zip(*parts)]
+
+
+def grow(blocks: DataFrame, min_size: int, overlap: bool = False, slice_blocks: int = SLICE_BLOCKS) -> DataFrame:
     """Blocks joined until a chunk is longer than ``min_size``: ``lecture_id, chunk_no, first_block, last_block,
     start_us, end_us, content``. The last chunk of a lecture may be short.
 
     With ``overlap`` the block before and the block after a chunk are added to it, with their times.
     """
-    ordered = blocks.select("lecture_id", "block_no", "start_us", "end_us", "content").repartition("lecture_id").sortWithinPartitions("lecture_id", "block_no")
-
-    def fold(batches):
-        rows: list[tuple] = []
-        lecture, no, parts, size, span, before, held = None, 0, [], 0, None, None, None
-        # before: the block ahead of the open chunk; held: a finished chunk that waits for the block after it.
-        none = object()
-        lecture = none
-
-        def close(after):
-            nonlocal held
-            if held is not None:
-                lec, n, first, last, start, end, content, pre = held
-                if overlap and pre is not None:
-                    start, content = pre[0], f"{pre[2]} {content}"
-                if overlap and after is not None:
-                    end, content = after[1], f"{content} {after[2]}"
-                rows.append((lec, n, first, last, start, end, content))
-                held = None
-
-        def finish(last_block):
-            nonlocal held, no, parts, size, span, before
-            held = (lecture, no, span[0], span[1], span[2], span[3], " ".join(parts), before)
-            no, parts, size, span, before = no + 1, [], 0, None, last_block
-
-        for batch in batches:
-            for lec, block, start, end, content in zip(*(c.to_pylist() for c in batch.columns)):
-                if lec != lecture:
-                    if parts:
-                        finish(None)
-                    close(None)
-                    lecture, no, parts, size, span, before = lec, 0, [], 0, None, None
-                now = (start, end, content)
-                close(now)
-                size += len(content) + (1 if parts else 0)
-                parts.append(content)
-                span = (span[0] if span else block, block, span[2] if span else start, end)
-                if size > min_size:
-                    finish(now)
-            if rows:
-                yield _chunks(rows)
-                rows.clear()
-        if parts:
-            finish(None)
-        close(None)
-        yield _chunks(rows)
-
-    return ordered.mapInArrow(fold, _BLOCK)
-
-
-def _chunks(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    columns = list(zip(*rows)) if rows else [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in _BLOCK.split(", ")])
+    blocks = materialize(blocks.select("lecture_id", "block_no", "start_us", "end_us", "content"))
+    lengths = blocks.select("lecture_id", F.floor(F.col("block_no") / slice_blocks).alias("slice"), "block_no", F.length("content").alias("n"))
+
+    same = lambda x, y: F.col(f"{x}.lecture_id").eqNullSafe(F.col(f"{y}.lecture_id"))
+    # Only lectures of several slices need tables.
+    long = lengths.where("slice > 0").select("lecture_id").distinct()
+
+    def tables(batches):
+        for (lecture, no), (n,) in _slices(batches, 1):
+            fold = Fold(n, min_size)
+            table = [{"close": j, "chunks": c, "left": o} for j, c, o in fold.table()]
+            yield pa.RecordBatch.from_pylist([{"lecture_id": lecture, "slice": no, "sums": fold.sums[: fold.first_close(-1) + 2].tolist(), "total": int(fold.sums[-1]), "table": table}], schema=_TABLE)
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What is open where each slice of a lecture begins, and the number of the chunk."""
+        rows, open_size, chunk = [], -1, 0
+        for r in pdf.sort_values("slice").itertuples(index=False):
+            rows.append((r.lecture_id, r.slice, open_size, chunk))
+            held = open_size + 1 if open_size >= 0 else 0
+            k = max(int(np.searchsorted(np.array(r.sums), min_size + 1 - held, side="right")) - 1, 0)
+            if k < len(r.table):
+                chunk, open_size = chunk + r.table[k]["chunks"], r.table[k]["left"]
+            else:
+                open_size = open_size + r.total if open_size >= 0 else r.total - 1
+        return pd.DataFrame(rows, columns=["lecture_id", "slice", "open_size", "chunk"])
+
+    sliced = lengths.alias("a").join(long.alias("b"), same("a", "b"), "left_semi").repartition("lecture_id", "slice").sortWithinPartitions("lecture_id", "slice", "block_no")
+    made = sliced.select("lecture_id", "slice", "n").mapInArrow(tables, "lecture_id string, slice bigint, sums array<bigint>, total bigint, table array<struct<close:int,chunks:bigint,left:bigint>>")
+    entry = made.groupBy("lecture_id").applyInPandas(entries, "lecture_id string, slice bigint, open_size bigint, chunk bigint")  # one row a slice
+
+    def assign(batches):
+        names: list = []
+        parts: list[list[np.ndarray]] = []
+
+        def handed_on():
+            out = pa.RecordBatch.from_arrays([pa.array(names, type=pa.string()), *(pa.array(np.concatenate(x)) for x in zip(*parts))], names=["lecture_id", "block_no", "chunk_no", "first", "last"])
+            names.clear(), parts.clear()
+            return out
+
+        for (lecture, _), (n, block, held, chunk) in _slices(batches, 4):
+            fold = Fold(n, min_size)
+            open_size = int(held[0])
+            k = fold.first_close(open_size)
+            ends = np.zeros(fold.n, dtype=bool)
+            ends[[k, *fold.run(k + 1)] if k < fold.n else []] = True
+            names += [lecture] * fold.n
+            parts.append([block, chunk[0] + np.concatenate([[0], np.cumsum(ends)[:-1]]), np.concatenate([[open_size < 0], ends[:-1]]), ends])
+            if len(names) > 10_000:
+                yield handed_on()
+        if names:
+            yield handed_on()
+
+    entered = lengths.alias("a").join(entry.alias("b"), same("a", "b") & (F.col("a.slice") == F.col("b.slice")), "left")
+    entered = entered.select("a.lecture_id", "a.slice", F.col("n").cast("bigint").alias("n"), "block_no", F.coalesce("open_size", F.lit(-1)).cast("bigint").alias("open_size"), F.coalesce("chunk", F.lit(0)).cast("bigint").alias("chunk"))
+    ordered = entered.repartition("lecture_id", "slice").sortWithinPartitions("lecture_id", "slice", "block_no")
+    assigned = ordered.mapInArrow(assign, "lecture_id string, block_no bigint, chunk_no bigint, first boolean, last boolean")
+    joined = blocks.join(assigned.withColumnRenamed("lecture_id", "_l").withColumnRenamed("block_no", "_b"), F.col("lecture_id").eqNullSafe(F.col("_l")) & (F.col("block_no") == F.col("_b")))
+    own = F.struct("chunk_no", F.lit(0).alias("role"))
+    if overlap:
+        roles = F.array(own, F.when(F.col("last"), F.struct((F.col("chunk_no") + 1).alias("chunk_no"), F.lit(-1).alias("role"))), F.when(F.col("first") & (F.col("chunk_no") > 0), F.struct((F.col("chunk_no") - 1).alias("chunk_no"), F.lit(1).alias("role"))))
+    else:
+        roles = F.array(own)
+    rows = joined.select("lecture_id", F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("c"), F.struct("block_no", "start_us", "end_us", "content").alias("b"))
+    chunk = rows.groupBy("lecture_id", F.col("c.chunk_no").alias("chunk_no")).agg(
+        F.sort_array(F.collect_list("b")).alias("r"), F.min(F.when(F.col("c.role") == 0, F.col("b.block_no"))).alias("first_block"), F.max(F.when(F.col("c.role") == 0, F.col("b.block_no"))).alias("last_block"),
+    )  # one chunk
+    return chunk.where("first_block IS NOT NULL").select(
+        "lecture_id", "chunk_no", "first_block", "last_block", F.col("r")[0]["start_us"].alias("start_us"), F.element_at("r", -1)["end_us"].alias("end_us"), F.array_join(F.col("r.content"), " ").alias("content"),
+    )
 
 
 def halves(content: str, start: int | None, end: int | None, max_size: int) -> list[tuple[str, int | None, int | None]]:

@@ -115,3 +115,22 @@ def test_sizes_and_groups(spark):
         ch.check_sizes(6, 5)
     df = spark.createDataFrame([(1, "A. B! C? D."), (2, None), (3, " ")], "k int, t string")
     assert [tuple(r) for r in ch.sentence_groups(df, "k", "t", 3).orderBy("group_no").collect()] == [(1, 0, "A. B! C?"), (1, 1, "D.")]
+
+
+@pytest.mark.parametrize("slice_blocks", [1, 2, 5])
+def test_slices_of_a_lecture_give_the_same_chunks(spark, slice_blocks):
+    rng = random.Random(slice_blocks)
+    rows = [(lecture, k, k * 10, k * 10 + 9, "x" * rng.choice([0, 1, 3, 8, 30])) for lecture in ("a", "b", None) for k in range(40 if lecture else 7)]
+    blocks = spark.createDataFrame(rows, "lecture_id string, block_no bigint, start_us bigint, end_us bigint, content string").repartition(3)
+    for least, overlap in ((10, False), (10, True), (0, True), (25, True), (10_000, True)):
+        whole, cut = (sorted(map(tuple, ch.grow(blocks, least, overlap, n).collect()), key=repr) for n in (1_000, slice_blocks))
+        assert whole == cut and sum(r[3] - r[2] + 1 for r in whole) == len(rows)
+
+
+def test_blocks_of_a_lecture_in_many_ranges(spark):
+    rows = [("l", i, 0, i, i, f"part {i}" + ("." if i % 3 == 0 else "")) for i in range(200)] + [("m", 0, 0, 0, 1, "one."), ("k", 0, 0, 0, 1, "open")]
+    parts = spark.createDataFrame(rows, "lecture_id string, seq bigint, part int, start_us bigint, end_us bigint, content string")
+    found = ch.islands(parts).collect()
+    big = sorted((r["block_no"], r["start_us"], r["end_us"]) for r in found if r["lecture_id"] == "l")
+    assert big == [(0, 0, 0)] + [(k, 3 * k - 2, min(3 * k, 199)) for k in range(1, 68)]
+    assert {r["lecture_id"]: r["content"] for r in found if r["lecture_id"] != "l"} == {"m": "one.", "k": "open"}
