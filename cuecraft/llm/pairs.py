@@ -3,8 +3,8 @@
 * ``empty``: nothing is left once markup, empty containers and bare answer labels are taken away.
 * ``copy``: the words of the answer are those of the question, or of its last sentences, up to misspellings.
 * ``refusal``: its sentences decline or report failure, by word patterns of inability or will with verbs of answering.
-* ``truncated``: a construct stays open (quotation of a whole object, code, formula), or the end is unlikely under a
-  character n-gram model of where texts end.
+* ``truncated``: a construct stays open (a whole object, code, a formula, what a colon or comma announces), or the end is
+  unlikely under a character n-gram model of where texts end.
 * ``language``: the language posteriors of question and answer, by naive Bayes on character n-grams, are sure of two
   languages, and the question does not ask for the other one. Posteriors are tempered by one factor that is fitted on
   labelled snippets, so that they are as sure as they are right.
@@ -326,7 +326,8 @@ def counted_text(answer: str) -> str | None:
 
 
 def is_truncated(answer: str, inner: str, whole: bool, ends: EndModel | OpenEnds, least: float = LEAST) -> bool:
-    """Whether the answer breaks off: something stays open, or its end is an unlikely one."""
+    """Whether the answer breaks off: a construct stays open, or the end is an unlikely one. The end model is asked about all
+    ends but those with a terminator after a word of its own."""
     if whole:
         text = inner.strip()
     else:
@@ -348,10 +349,11 @@ def is_truncated(answer: str, inner: str, whole: bool, ends: EndModel | OpenEnds
     if core and core[-1] in ".!?…。！？।؟":
         if core[-1] == "." and not core.endswith(".."):
             last = core[:-1].rsplit(None, 1)[-1].lstrip("(«„\"'").casefold() if core[:-1].split() else ""
-            return last in _NEVER and len(core.split()) > 2
+            # After an abbreviation a full stop is no sign of an end.
+            return last in _NEVER and len(core.split()) > 2 and ends.likelihood(prose) < least
         return False
-    if prose[-1] in "(+=-–—*/<,;:&|":
-        return True
+    if prose[-1] in ",;:":
+        return True  # what it announces is missing
     # Numbers and symbols alone say all they say.
     return any(len(w) > 1 and not w.isdigit() for w in _words(prose)) and ends.likelihood(prose) < least
 
