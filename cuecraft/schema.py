@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# The service's defaults.
+# The service's defaults and canned answers.
 DIMENSION = 1024
 CANDIDATES = 50
 DEFAULT_LIMIT = 5
@@ -17,8 +17,8 @@ PAGE_TOKENS = 312
 ENTITY_LABELS = ("ALGORITHM", "CONCEPT", "THEOREM_RULE", "DISTRIBUTION", "FUNCTION", "OPERATOR")
 RETRIEVERS = ("dense", "hybrid", "hybrid+colbert")
 COLLECTIONS = ("lectures", "entities")
-NO_HITS_ANSWER = "I could not find any information on this in the lectures."
-UNREADABLE_ANSWER = "The answer could not be read."
+NO_HITS_ANSWER = "I could not find any relevant information to answer this question."
+UNREADABLE_ANSWER = "I could not generate a valid answer."
 
 LOCATION = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("course_id", T.StringType()), T.StructField("lecture_id", T.StringType()),
