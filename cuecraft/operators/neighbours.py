@@ -1,10 +1,10 @@
 """Exact self-join of vectors by cosine, in cells around pivots.
 
-Pivots are a bounded sample of the vectors. Every vector lies in the cell of its nearest pivot; cells are cut into blocks
-of a bounded size, each with its radius. Two blocks can hold a similar pair only if the angle between their pivots is at
-most the sum of their radii and the angle of the threshold (triangle inequality), so only such pairs of blocks meet, each
-in a task of its own as one matrix product. What a task holds is bounded by two blocks, the driver sees one row a block,
-and equal vectors are joined once, by their first.
+Pivots are a bounded sample of the vectors. Every vector lies in the cell of its nearest pivot. Two cells can hold a similar
+pair only if the angle between their pivots is at most the sum of their radii and the angle of the threshold (triangle
+inequality). Cells are cut into blocks of a bounded size, and only blocks of such cells meet, each two as one matrix
+product. What a product holds is bounded by two blocks, the driver sees one row a cell, and equal vectors are joined once,
+by their first.
 """
 
 from __future__ import annotations
@@ -58,26 +58,17 @@ def similar_pairs(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, bl
             yield pd.DataFrame({"rep": pdf["rep"], "v": pdf["v"], "cell": cell.astype(np.int32), "angle": np.arccos(s[np.arange(len(m)), cell])})
 
     placed = materialize(vectors.mapInPandas(place, "rep bigint, v array<double>, cell int, angle double"))
-    # Cells by size, cut at random into blocks; a hot cell has many.
-    sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    cuts = F.create_map(*(F.lit(int(x)) for c, n in sizes.items() for x in (c, -(-n // block))))
-    placed = placed.withColumn("block", F.struct("cell", F.pmod(F.xxhash64("rep"), cuts[F.col("cell")]).cast("int").alias("part")))
-    radius = {(r["block"]["cell"], r["block"]["part"]): r["angle"] for r in placed.groupBy("block").agg(F.max("angle").alias("angle")).collect()}
+    # Cells by size, cut at random into blocks; a hot cell has many. One row a cell comes to the driver.
+    cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
     between = np.arccos(np.clip(held.value @ held.value.T, -1.0, 1.0))
     reach = math.acos(max(-1.0, min(1.0, threshold))) + _SLACK
-    names = sorted(radius)
-    meets: dict[tuple[int, int], list[int]] = {b: [] for b in names}
-    no = 0
-    for i, x in enumerate(names):
-        for y in names[i:]:
-            if x == y or between[x[0], y[0]] <= radius[x] + radius[y] + reach:
-                meets[x].append(no)
-                if x != y:
-                    meets[y].append(no)
-                no += 1
-    table = spark.createDataFrame([(c, p, m) for (c, p), m in meets.items()], "cell int, part int, meet array<int>")
-    sent = placed.select("rep", "v", F.col("block.cell").alias("cell"), F.col("block.part").alias("part")).join(F.broadcast(table), ["cell", "part"])
-    sent = sent.select("rep", "v", "cell", "part", F.explode("meet").alias("meet"))
+    parts = {c: -(-r["n"] // block) for c, r in cells.items()}
+    near = [(x, parts[x], y, parts[y]) for x in cells for y in cells if x == y or between[x, y] <= cells[x]["radius"] + cells[y]["radius"] + reach]
+    table = spark.createDataFrame(near, "cell int, own int, other int, parts int")  # the square of the pivots at most
+    part = F.pmod(F.xxhash64("rep"), F.col("own")).cast("int")
+    sent = placed.select("rep", "v", "cell").join(F.broadcast(table), "cell").select("rep", "v", "cell", part.alias("part"), "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("there"))
+    mine, theirs = F.struct(F.col("cell").alias("c"), F.col("part").alias("p")), F.struct(F.col("other").alias("c"), F.col("there").alias("p"))
+    sent = sent.select("rep", "v", "cell", "part", F.struct(F.least(mine, theirs).alias("a"), F.greatest(mine, theirs).alias("b")).alias("meet"))
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         """One meeting: a block with itself, or two blocks."""
