@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuecraft.llm.sampling import sample_rows
-from cuecraft.operators.joins import lookup_join
 from cuecraft.session import materialize
 
 #: Rows at most whose words train the classifier, and words at most that are garbled for it.
@@ -553,7 +552,7 @@ def find_garbled(df: DataFrame, key: str, text: str, rows: int = TRAIN_ROWS) ->
     held = context.broadcast((weights, {}, max(1.0, there / TRAIN_ROWS), 1))
     verdicts = materialize(judged(cut.where("kind = 'part need'"), sound_counts(cut, held), held))
     parts = cut.where("kind = 'part'").select("_h", "w")
-    hit = lookup_join(parts, verdicts, "w", "_h").where("chain IS NOT NULL")
+    hit = parts.join(verdicts, "w")
     # The garbled words of one text, which is held whole anyway.
     found = hit.groupBy("_h").agg(F.collect_list(F.struct("w", "chain", "before", "margin")).alias("found"))
 
