@@ -431,3 +431,12 @@ def test_long_misspelt_names_are_linked():
     m = linking.Matcher(names)
     assert m.link("strong uniform law of large random numbrs theorem", None) == "e1" and m.link("strong law of large numbers theorem", None) == linking.UNMATCHED
     assert m.link("x" * 200, None) == linking.UNMATCHED
+
+
+def test_dirty_inputs_of_pairs_and_languages(spark):
+    none = spark.createDataFrame([], "text string, lang string")
+    log = spark.createDataFrame([(1, None, None), (3, "q", ""), (4, None, "A fine answer here."), (None, "a", "b")], "ask_id bigint, question string, answer string").withColumn("_k", F.lit(1)).withColumn("defect", F.lit(2))
+    assert sorted(map(tuple, pairs.find_defects(log, none).collect())) == [(1, "empty"), (3, "empty")] and pairs.find_defects(log.limit(0), none).count() == 0
+    rows = [(1, "x" * 100_000, None), (2, None, "en"), (3, "", "de"), (4, PROSE["en"], "en"), (4, PROSE["en"], "en")]
+    found = langid.identify(spark.createDataFrame(rows, "chunk_id bigint, text string, lang string").withColumn("_t", F.lit(1)), "chunk_id", "text", "lang").collect()
+    assert [(r["chunk_id"], r["lang"]) for r in found] == [(4, "en")]
