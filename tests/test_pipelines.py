@@ -154,3 +154,20 @@ def test_texts_and_examples(spark, tmp_path):
     assert files.read_examples(spark, str(tmp_path / "ex.json")).first()["spans"][0]["label"] == "CONCEPT"
     (tmp_path / "d.json").write_text('{"CONCEPT": "an idea"}', encoding="utf-8")
     assert files.read_definitions(spark, str(tmp_path / "d.json")) == {"CONCEPT": "an idea"}
+
+
+def test_empty_and_dirty_inputs(spark):
+    from cuecraft.operators import chunking as ch
+
+    kind = "lecture_id string, seq bigint, start_us bigint, end_us bigint, content string, part string, slice string, _p int"
+    assert ch.chunk_cues(spark.createDataFrame([], kind)).count() == 0
+    dirty = spark.createDataFrame([(None, 1, None, None, None, "a", "b", 1), ("l", None, 0, 5, "A. B", None, None, None), ("l", None, 0, 5, "A. B", None, None, None), ("", 3, 1, 2, "", "", "", 2)], kind)
+    assert {r["lecture_id"] for r in ch.chunk_cues(dirty, 1, 5).collect()} == {None, "l", ""}
+    mentions = spark.createDataFrame([(0, None), (1, [0.0]), (2, []), (3, None), (3, None)], "seq bigint, dense array<double>")
+    assert sorted(map(tuple, en.resolve(mentions).collect())) == [(k, k, True) for k in range(4)]
+    assert en.resolve(mentions.limit(0)).count() == 0
+    q = spark.createDataFrame([(1, "a b"), (2, None)], "query_id bigint, text string")
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (3, "a")], "id bigint, text string")
+    for kind in ("dense", "hybrid", "hybrid+colbert"):
+        assert rt.search(q, docs.limit(0), kind, reranking=True).count() == 0
+        assert {(r["query_id"], r["id"]) for r in rt.search(q, docs, kind).collect()} == {(1, 3)}
