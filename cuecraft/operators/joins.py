@@ -20,7 +20,9 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, salt_by: str, broad
         return left.join(F.broadcast(right), key, "left")
     salted = left.where(F.col(key).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(repeated, [key, "_salt"], "left").drop("_salt")
+    # The planner's estimate doesn't see that rows are repeated, and takes millions of them for a small table: without
+    # the hint it may send them all through the driver to broadcast them.
+    joined = salted.join(repeated.hint("merge"), [key, "_salt"], "left").drop("_salt")
     rest = left.where(F.col(key).isNull())
     for field in right.schema.fields:
         if field.name != key:

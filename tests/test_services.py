@@ -136,6 +136,15 @@ def test_lookup_join_both_ways(spark):
         assert sorted((r["id"], r["v"]) for r in lookup_join(left, right, "k", "id", limit).collect()) == [(1, 5), (2, 5), (3, None), (4, None)]
 
 
+def test_lookup_beyond_the_limit_is_not_broadcast(spark):
+    # Small by the planner's estimate, like a compact table whose rows are many.
+    left = spark.range(100).select(F.col("id").cast("int"), (F.col("id") % 9).alias("k"))
+    right = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = lookup_join(left, right, "k", "id", 49)
+    assert sorted((r["id"], r["v"]) for r in got.collect()) == [(i, i % 9 * 2) for i in range(100)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_streaming_ingest(spark, tmp_path):
     from cuecraft.streaming.ingest import event_counts, start
 
